@@ -1,0 +1 @@
+"""Empty on purpose: every dataset is refreshed as a whole dated snapshot, never as a stream."""
