@@ -41,27 +41,36 @@ def write_snapshot(
     )
 
 
+def snapshot_dates(spark: SparkSession, root: str, dataset: str) -> list[dt.date]:
+    """Dates stored, oldest first, from the folder names alone."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{root}/{dataset}/snapshot_date=*")
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path)
+    names = [status.getPath().getName() for status in found]
+    return sorted(dt.date.fromisoformat(name.split("=", 1)[1]) for name in names)
+
+
 def latest_snapshot(
-    spark: SparkSession,
-    root: str,
-    dataset: str,
-    schema: str | None = None,
-    user: str | None = None,
+    spark: SparkSession, root: str, dataset: str, user: str | None = None
 ) -> DataFrame:
-    """The newest snapshot, optionally of one user. Fails if there is none.
+    """The newest snapshot, or the newest that has a given user. Fails if there is none.
 
-    The newest date is a partition value, so finding it reads no data column and
-    the result scans a single partition. A user may be missing from the newest
-    day; then the newest day that has that user counts.
+    The newest date comes from the folder names, so neither the files of older
+    days are listed nor any footer is opened to find it.
     """
-    reader = spark.read.schema(f"{schema}, snapshot_date DATE") if schema else spark.read
-    table = reader.parquet(f"{root}/{dataset}").where(F.col("snapshot_date") > F.lit(EARLIEST))
-    if user is not None:
-        table = table.where(F.col("user") == user)
-    newest = table.agg(F.max("snapshot_date")).first()[0]
-    if newest is None:
+    dates = [d for d in snapshot_dates(spark, root, dataset) if d > EARLIEST]
+    if user is not None and dates:
+        stored = spark.read.parquet(f"{root}/{dataset}")
+        newest = (
+            stored.where((F.col("user") == user) & (F.col("snapshot_date") > F.lit(EARLIEST)))
+            .agg(F.max("snapshot_date"))
+            .first()[0]
+        )
+        dates = [newest] if newest else []
+    if not dates:
         raise ValueError(f"no dated snapshot of {dataset} for {user or 'any user'}")
-    return table.where(F.col("snapshot_date") == F.lit(newest)).drop("snapshot_date")
+    newest = spark.read.parquet(f"{root}/{dataset}/snapshot_date={dates[-1].isoformat()}")
+    return newest if user is None else newest.where(F.col("user") == user)
 
 
 def list_snapshots(spark: SparkSession, root: str, datasets: Iterable[str]) -> DataFrame:
