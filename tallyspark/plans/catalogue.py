@@ -557,9 +557,15 @@ def _scored(s: StandIns) -> DataFrame:
     )
 
 
+def _card(df: DataFrame) -> DataFrame:
+    """Seconds are missing for habits and ratings; a nullable number travels as DOUBLE."""
+    seconds = ("tod_seconds", "target_seconds")
+    return df.withColumns({c: F.col(c).cast("double") for c in seconds})
+
+
 @query
 def scored_rows(s):
-    return _scored(s)
+    return _card(_scored(s))
 
 
 @query
@@ -569,32 +575,32 @@ def distinct_weeks(s):
 
 @query
 def scorecard_base(s):
-    return scorecard.scorecard_base(_scored(s), JANUARY)
+    return _card(scorecard.scorecard_base(_scored(s), JANUARY))
 
 
 @query
 def scorecard_week(s):
-    return scorecard.scorecard_base(_scored(s), WEEK_2)
+    return _card(scorecard.scorecard_base(_scored(s), WEEK_2))
 
 
 @query
 def scorecard_quarter(s):
-    return scorecard.scorecard_base(_scored(s), FIRST_QUARTER)
+    return _card(scorecard.scorecard_base(_scored(s), FIRST_QUARTER))
 
 
 @query
 def scorecard_year(s):
-    return scorecard.scorecard_base(_scored(s), WHOLE_YEAR)
+    return _card(scorecard.scorecard_base(_scored(s), WHOLE_YEAR))
 
 
 @query
 def scorecard_success(s):
-    return scorecard.scorecard_success(scorecard.scorecard_base(_scored(s), WEEK_2))
+    return _card(scorecard.scorecard_success(scorecard.scorecard_base(_scored(s), WEEK_2)))
 
 
 @query
 def scorecard_fail(s):
-    return scorecard.scorecard_fail(scorecard.scorecard_base(_scored(s), WEEK_2))
+    return _card(scorecard.scorecard_fail(scorecard.scorecard_base(_scored(s), WEEK_2)))
 
 
 @query
