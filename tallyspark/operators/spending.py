@@ -284,30 +284,38 @@ def saving_mix(
     income: Sequence[str] = ("income",),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Mean month split by category plus a savings share, housing at its planned payment."""
-    months = category_months(_from_year(finance, start_year), keys)
-    past = ~_is_month(as_of)
+    """Mean month split by category plus a savings share, housing at its planned payment.
+
+    Every monthly total counts once for its category and once for the savings
+    share (share NULL), so both come out of one pass over the daily rows.
+    """
+    months = category_months(_from_year(finance, start_year), keys).withColumn(
+        "share", F.explode(F.array(F.col("category"), F.lit(None)))
+    )
+    is_savings = F.col("share").isNull()
     regular = not_in("category", irregular)
-    net = F.when(regular, F.col("total"))
-    month_no = F.when(regular, F.col("year") * 12 + F.col("month"))
-    housing = exact_avg(F.when(past & (F.col("category") == "housing"), F.col("total")))
-    savings = months.groupBy(*keys).agg(
-        (
-            F.try_divide(exact_sum(net), F.count_distinct(month_no).cast("double"))
-            + (F.lit(housing_payment) - F.coalesce(housing, F.lit(0.0)))
-        ).alias("total")
+    month_no = F.when(is_savings & regular, F.col("year") * 12 + F.col("month"))
+    past_total = F.when(~_is_month(as_of), F.col("total"))
+    shares = months.groupBy(*keys, "share").agg(
+        exact_avg(past_total).alias("mean"),
+        exact_avg(F.when(F.col("category") == "housing", past_total)).alias("housing"),
+        exact_sum(F.when(regular, F.col("total"))).alias("net"),
+        F.count_distinct(month_no).alias("months"),
     )
-    total = F.when(F.col("category") == "housing", F.lit(float(housing_payment)))
-    shares = (
-        months.where(past & not_in("category", exclude))
-        .groupBy(*keys, "category")
-        .agg(exact_avg("total").alias("total"))
-        .withColumn("total", total.otherwise(F.col("total")))
+    mean_net = F.try_divide(F.col("net"), F.col("months").cast("double"))
+    total = (
+        F.when(
+            is_savings,
+            mean_net + (F.lit(housing_payment) - F.coalesce(F.col("housing"), F.lit(0.0))),
+        )
+        .when(F.col("share") == "housing", F.lit(float(housing_payment)))
+        .otherwise(F.col("mean"))
     )
-    return (
-        shares.unionByName(savings.withColumn("category", F.lit("savings")))
-        .where(not_in("category", income))
-        .withColumn("total", F.abs("total"))
+    shown = F.col("mean").isNotNull() & not_in("share", [*exclude, *income])
+    return shares.where(is_savings | shown).select(
+        *keys,
+        F.coalesce("share", F.lit("savings")).alias("category"),
+        F.abs(total).alias("total"),
     )
 
 

@@ -81,12 +81,12 @@ def _paths_by_doubling(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
         "category-chains",
     )
     is_closed = F.col("end") == ROOT
-    before = chains.where(is_closed).count()
+    closed_before = -1
     while True:
-        closed = chains.where(is_closed)
-        still_open = chains.where(~is_closed)
-        if still_open.isEmpty():
+        closed_now, open_now = chains.agg(F.count_if(is_closed), F.count_if(~is_closed)).first()
+        if open_now == 0 or closed_now == closed_before:
             break
+        closed_before = closed_now
         step = chains.select(
             *keys,
             F.col("node").alias("end"),
@@ -94,18 +94,18 @@ def _paths_by_doubling(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.col("path").alias("next_path"),
             F.col("category").alias("next_category"),
         )
-        longer = still_open.join(step, [*keys, "end"]).select(
-            *keys,
-            "node",
-            F.col("next_end").alias("end"),
-            F.concat("path", F.lit("/"), "next_path").alias("path"),
-            F.col("next_category").alias("category"),
+        longer = (
+            chains.where(~is_closed)
+            .join(step, [*keys, "end"])
+            .select(
+                *keys,
+                "node",
+                F.col("next_end").alias("end"),
+                F.concat("path", F.lit("/"), "next_path").alias("path"),
+                F.col("next_category").alias("category"),
+            )
         )
-        chains = settle(closed.unionByName(longer), "category-chains")
-        now = chains.where(is_closed).count()
-        if now == before:
-            break
-        before = now
+        chains = settle(chains.where(is_closed).unionByName(longer), "category-chains")
     return chains.where(is_closed).select(*keys, "node", "path", "category")
 
 
@@ -115,12 +115,14 @@ def category_paths(
     """Path from each category up to the root, nearest title first, and the topmost title.
 
     Works on the category table alone, never on tasks. Its size is counted first:
-    a recursive query for ordinary trees, doubling joins for larger ones.
+    a recursive query for ordinary trees, doubling joins for larger ones. The
+    paths are written once, so the join with the tasks knows their size: small
+    paths are broadcast instead of shuffling every task.
     """
-    nodes = _nodes(categories, shared_keys(categories, keys))
-    shared = [k for k in nodes.columns if k in keys]
+    shared = shared_keys(categories, keys)
+    nodes = _nodes(categories, shared)
     if categories.count() <= recursive_rows:
-        return _paths_by_recursion(nodes, shared)
+        return settle(_paths_by_recursion(nodes, shared), "category-paths")
     return _paths_by_doubling(nodes, shared)
 
 
