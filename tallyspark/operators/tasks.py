@@ -70,15 +70,12 @@ def _paths_by_doubling(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     survives lost executors. Chains whose parent is missing fall out of the inner
     join. A round that closes no chain leaves only cycles.
     """
-    chains = settle(
-        nodes.select(
-            *keys,
-            "node",
-            F.col("parentId").alias("end"),
-            F.col("title").alias("path"),
-            F.col("title").alias("category"),
-        ),
-        "category-chains",
+    chains = nodes.select(
+        *keys,
+        "node",
+        F.col("parentId").alias("end"),
+        F.col("title").alias("path"),
+        F.col("title").alias("category"),
     )
     is_closed = F.col("end") == ROOT
     closed_before = -1
@@ -120,8 +117,8 @@ def category_paths(
     paths are broadcast instead of shuffling every task.
     """
     shared = shared_keys(categories, keys)
-    nodes = _nodes(categories, shared)
-    if categories.count() <= recursive_rows:
+    nodes = settle(_nodes(categories, shared), "category-nodes")
+    if nodes.count() <= recursive_rows:
         return settle(_paths_by_recursion(nodes, shared), "category-paths")
     return _paths_by_doubling(nodes, shared)
 
