@@ -557,11 +557,14 @@ def oracle_sql() -> dict[str, str]:
     sql["account_kpis_year"] = _with("daily budget totals", _kpis(IN_YEAR))
     sql["account_kpis_v1"] = _with(
         "monthly accounts",
-        f""", held AS (SELECT "user",
-                  {_sum("currentBalance", "type IN ('BankAccount', 'CashAccount')")} AS cash,
-                  {_sum("currentBalance", "type = 'CreditAccount'")} AS credit,
-                  {_sum("currentBalance", "type = 'InvestmentAccount'")} AS investment
-                FROM accounts WHERE systemStatus = 'ACTIVE' GROUP BY "user"),
+        f""", kinds AS (SELECT "user", {_sum("currentBalance")} AS total,
+                  CASE type WHEN 'CreditAccount' THEN 'credit' WHEN 'BankAccount' THEN 'cash'
+                    WHEN 'CashAccount' THEN 'cash' ELSE type END AS kind
+                FROM accounts WHERE systemStatus = 'ACTIVE' GROUP BY "user", kind),
+            held AS (SELECT "user", max(total) FILTER (WHERE kind = 'cash') AS cash,
+                  coalesce(max(total) FILTER (WHERE kind = 'credit'), 0) AS credit,
+                  max(total) FILTER (WHERE kind = 'InvestmentAccount') AS investment
+                FROM kinds GROUP BY "user"),
             mean AS (SELECT "user", category, {_avg("total")} AS total FROM monthly
                 WHERE year >= 1997 GROUP BY "user", category),
             flow AS (SELECT "user", max(total) FILTER (WHERE category = 'paycheck') AS income,

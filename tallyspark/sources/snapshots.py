@@ -104,3 +104,15 @@ def removable_dates(listing: DataFrame, plan: DataFrame) -> DataFrame:
     kept = listing.join(plan, ["dataset", "user", "snapshot_date"], "left_anti")
     whole = ["dataset", "snapshot_date"]
     return listing.select(*whole).distinct().join(kept, whole, "left_anti")
+
+
+def drop_snapshots(spark: SparkSession, root: str, removable: DataFrame) -> int:
+    """Delete whole date partitions; returns how many. There is one row per dataset and day."""
+    context = spark.sparkContext
+    dropped = 0
+    for row in removable.select("dataset", "snapshot_date").distinct().toLocalIterator():
+        path = context._jvm.org.apache.hadoop.fs.Path(
+            f"{root}/{row.dataset}/snapshot_date={row.snapshot_date.isoformat()}"
+        )
+        dropped += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped

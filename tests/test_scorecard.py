@@ -1,0 +1,88 @@
+import pytest
+
+from tallyspark import Period
+from tallyspark.operators import scorecard
+
+from .conftest import rows
+
+SCHEMA = (
+    "user string, name string, positive boolean, year bigint, month bigint, week_number bigint, "
+    "value double, target double, tod_seconds bigint, target_seconds bigint"
+)
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    data = []
+    for user in ("a", "b"):
+        for week in (1, 2, 3):
+            data.append((user, "run", True, 2024, 1, week, 2.0, 2.0, None, None))
+        data.append((user, "snack", False, 2024, 1, 1, 9.0, 2.0, None, None))
+        data.append((user, "no target", True, 2024, 1, 1, 1.0, None, None, None))
+        data.append((user, "Rating", True, 2024, 1, 1, 7.11, 6.0, None, None))
+        data.append((user, "Rating", True, 2024, 1, 2, 7.0, 6.0, None, None))
+        data.append((user, "run", True, 2023, 1, 1, 100.0, 2.0, None, None))
+    # Only user a has sleep, in a fourth week, which counts for all of a's habits.
+    data.append(("a", "Bed", False, 2024, 1, 4, None, None, 23 * 3600, 22 * 3600))
+    data.append(("a", "Bed", False, 2024, 1, 4, None, None, 5400, 22 * 3600))
+    data.append(("a", "Wake", False, 2024, 1, 4, None, None, 13 * 3600, 6 * 3600))
+    data.append(("a", "Duration", True, 2024, 1, 4, None, None, 1800, 30600))
+    return spark.createDataFrame(data, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def base(scored):
+    return scorecard.scorecard_base(scored, Period("month", 2024, month=1)).cache()
+
+
+def test_base(base):
+    found = {(r.user, r.name): (r.value, r.target) for r in base.where("kind <> 'sleep'").collect()}
+    assert found == {
+        ("a", "run"): (6.0, 8.0),
+        ("a", "snack"): (9.0, 8.0),
+        ("a", "no target"): (1.0, None),
+        ("a", "Rating"): (7.06, 6.0),
+        ("b", "run"): (6.0, 6.0),
+        ("b", "snack"): (9.0, 6.0),
+        ("b", "no target"): (1.0, None),
+        ("b", "Rating"): (7.06, 6.0),
+    }
+
+
+def test_success_and_fail_are_opposites(base):
+    assert rows(scorecard.scorecard_success(base), "user", "name") == [
+        ("a", "Rating"),
+        ("b", "Rating"),
+        ("b", "run"),
+    ]
+    assert rows(scorecard.scorecard_fail(base), "user", "name") == [
+        ("a", "run"),
+        ("a", "snack"),
+        ("b", "snack"),
+    ]
+
+
+def test_success_fail_and_missing_make_the_card(base):
+    judged = base.where("kind <> 'sleep'")
+    missing = judged.where("value is null or target is null").count()
+    parts = scorecard.scorecard_success(base).count() + scorecard.scorecard_fail(base).count()
+    assert parts + missing == judged.count()
+
+
+def test_supporting_table_order_and_text(base):
+    shown = [tuple(r) for r in scorecard.supporting_table(base).select("name", "value").collect()]
+    assert shown == [("Wake", "01:00 PM"), ("Bed", "12:15 AM"), ("Duration", "12:30")]
+
+
+def test_distinct_weeks(scored):
+    weeks = scorecard.distinct_weeks(scored.where("year = 2024"))
+    assert rows(weeks) == [("a", 4), ("b", 3)]
+
+
+@pytest.mark.parametrize(
+    "period", [Period("week", 2024, week=1), Period("quarter", 2024, month=3), Period("year", 2024)]
+)
+def test_one_user_alone_equals_that_user_among_many(scored, period):
+    among = scorecard.scorecard_base(scored, period).where("user = 'a'").drop("user")
+    alone = scorecard.scorecard_base(scored.where("user = 'a'").drop("user"), period, keys=())
+    assert rows(among, *alone.columns) == rows(alone)

@@ -1,0 +1,158 @@
+import datetime as dt
+import random
+
+import pytest
+
+from tallyspark.operators import tasks
+from tallyspark.plans.views import tasks_from_docs
+
+from .conftest import rows
+
+TREE = "user string, _id string, parentId string, title string"
+TASK = (
+    "user string, title string, day string, parentId string, times array<bigint>, "
+    "duration bigint, timeEstimate bigint"
+)
+HOUR = 3_600_000
+METHODS = pytest.mark.parametrize("recursive_rows", [tasks.RECURSIVE_ROWS, 0], ids=["recursion", "doubling"])
+
+
+def brute_force(tree):
+    """Follow parents one by one; broken and circular chains have no path."""
+    nodes = {(user, node): (parent, title) for user, node, parent, title in tree}
+    found = []
+    for user, node in nodes:
+        titles, at, seen = [], node, set()
+        while at != "root" and (user, at) in nodes and at not in seen:
+            seen.add(at)
+            titles.append(nodes[user, at][1])
+            at = nodes[user, at][0]
+        if at == "root":
+            found.append((user, node, "/".join(titles), titles[-1]))
+    return sorted(found)
+
+
+EDGES = [
+    ("a", "A", "root", "Alpha"),
+    ("a", "B", "A", "Beta"),
+    ("a", "D", "B", "Delta"),
+    ("a", "orphan", "gone", "Orphan"),
+    ("a", "child of orphan", "orphan", "Child"),
+    ("a", "x", "y", "X"),
+    ("a", "y", "x", "Y"),
+    ("a", "under cycle", "x", "Z"),
+    ("a", "self", "self", "Self"),
+    ("a", "no parent", None, "None"),
+    ("b", "A", "root", "Other"),
+    ("b", "D", "A", "Their D"),
+]
+DEEP = [("c", f"n{i}", f"n{i - 1}" if i else "root", f"t{i}") for i in range(7)]
+
+
+@METHODS
+def test_paths(spark, recursive_rows):
+    tree = spark.createDataFrame(EDGES + DEEP, TREE)
+    paths = tasks.category_paths(tree, recursive_rows=recursive_rows)
+    assert rows(paths, "user", "node", "path", "category") == brute_force(EDGES + DEEP)
+    lost = tasks.unresolved_categories(tree, paths)
+    assert {r._id for r in lost.collect()} == {
+        "orphan", "child of orphan", "x", "y", "under cycle", "self", "no parent",
+    }
+
+
+@METHODS
+def test_random_forests(spark, recursive_rows):
+    pick = random.Random(3)
+    tree = []
+    for user in ("a", "b"):
+        for i in range(60):
+            # A third hangs directly under one hot node.
+            parent = pick.choice(["n0", "root", f"n{pick.randrange(70)}"])
+            tree.append((user, f"n{i}", "root" if i == 0 else parent, f"t{i}"))
+    paths = tasks.category_paths(spark.createDataFrame(tree, TREE), recursive_rows=recursive_rows)
+    assert rows(paths, "user", "node", "path", "category") == brute_force(tree)
+
+
+@METHODS
+def test_long_chain(spark, recursive_rows):
+    depth = 24
+    tree = [("a", f"n{i}", f"n{i - 1}" if i else "root", f"t{i}") for i in range(depth)]
+    paths = tasks.category_paths(spark.createDataFrame(tree, TREE), recursive_rows=recursive_rows)
+    assert rows(paths, "user", "node", "path", "category") == brute_force(tree)
+
+
+@METHODS
+def test_no_categories(spark, recursive_rows):
+    tree = spark.createDataFrame([], TREE)
+    assert tasks.category_paths(tree, recursive_rows=recursive_rows).count() == 0
+
+
+def test_duplicate_ids_resolve_once(spark):
+    tree = [("a", "A", "root", "First"), ("a", "A", "root", "Second"), ("a", "B", "A", "Beta")]
+    paths = tasks.category_paths(spark.createDataFrame(tree, TREE))
+    assert rows(paths, "node", "path") == [("A", "First"), ("B", "Beta/First")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    start = 1704103200000  # 2024-01-01 10:00
+    data = [
+        ("a", "done", "2024-01-02", "D", [start, start + 26 * HOUR], 90 * 60000, 2 * HOUR),
+        ("a", "open", "2024-01-02", "B", None, None, None),
+        ("a", "empty", "2024-01-03", "A", [], HOUR, None),
+        ("a", "half", "2024-01-03", "A", [start], 3 * HOUR, None),
+        ("a", "later", "unassigned", "A", None, None, None),
+        ("a", "dayless", None, "A", None, None, None),
+        ("a", "lost", "2024-01-03", "orphan", None, None, None),
+        ("a", "nowhere", "2024-01-03", "missing", None, None, None),
+        ("b", "theirs", "2024-01-03", "D", [start, start], HOUR, None),
+        ("b", "not theirs", "2024-01-03", "B", None, None, None),
+    ]
+    return spark.createDataFrame(data, TASK)
+
+
+@pytest.fixture(scope="module")
+def task_table(spark, docs):
+    return tasks_from_docs(docs, spark.createDataFrame(EDGES, TREE)).cache()
+
+
+def test_task_table(task_table):
+    first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    found = rows(task_table, "user", "name", "parent", "category", "start_time", "end_time", "duration", "time_estimate")
+    assert found == [
+        ("a", "dayless", "Alpha", "Alpha", None, None, None, None),
+        ("a", "done", "Delta/Beta/Alpha", "Alpha", first, second, 1.5, 2.0),
+        ("a", "empty", "Alpha", "Alpha", None, None, 1.0, None),
+        ("a", "half", "Alpha", "Alpha", first, None, 3.0, None),
+        ("a", "open", "Beta/Alpha", "Alpha", None, None, None, None),
+        ("b", "theirs", "Their D/Other", "Other", first, first, 1.0, None),
+    ]
+
+
+def test_format_tasks(spark, task_table):
+    rollup = spark.createDataFrame([("a", "Alpha"), ("a", "Alpha")], "user string, category string")
+    found = tasks.format_tasks(task_table, rollup)
+    assert rows(found, "name", "category", "year", "month") == [
+        ("dayless", "Alpha", None, None),
+        ("done", "Alpha", 2024, 1),
+        ("empty", "Alpha", 2024, 1),
+        ("half", "Alpha", 2024, 1),
+        ("open", "Alpha", 2024, 1),
+        ("theirs", "Their D", 2024, 1),
+    ]
+
+
+def test_task_time(spark, task_table):
+    rollup = spark.createDataFrame([("Alpha",)], "category string")
+    formatted = tasks.format_tasks(task_table, rollup)
+    found = tasks.task_time_by_category(formatted, 2024, 1)
+    assert rows(found, "user", "category", "duration") == [("a", "Alpha", 5.5)]
+
+
+def test_all_zero_hours_give_nothing(spark):
+    data = [("a", "x", 2024, 1, 5.0), ("a", "y", 2024, 1, -5.0), ("b", "x", 2024, 1, 5.0)]
+    formatted = spark.createDataFrame(data, "user string, category string, year bigint, month bigint, duration double")
+    found = tasks.task_time_by_category(formatted, 2024, 1)
+    assert rows(found, "user", "category") == [("b", "x")]
+    alone = formatted.where("user = 'a'").drop("user")
+    assert tasks.task_time_by_category(alone, 2024, 1, keys=()).count() == 0
