@@ -63,13 +63,32 @@ def fixed_point(column: Column | str, places: int) -> Column:
     return F.when(~F.isnan(x), F.rint(x * F.lit(float(10**places))).cast("bigint"))
 
 
+def _units(column: Column | str, places: int, over: WindowSpec | None = None) -> Column:
+    """Total in units of the last kept place.
+
+    Cents fit a long with room to spare. With more places the whole and the
+    fractional part add up apart, in two longs, and meet only in the result: a
+    group holding a third of 10**12 rows still does not overflow.
+    """
+
+    def total(x: Column) -> Column:
+        return F.sum(x) if over is None else F.sum(x).over(over)
+
+    x = fixed_point(column, places)
+    if places <= MONEY:
+        return total(x)
+    unit = F.lit(10**places).cast("bigint")
+    whole = total(F.call_function("div", x, unit)).cast("decimal(20,0)")
+    return whole * unit.cast("decimal(10,0)") + total(x % unit).cast("decimal(20,0)")
+
+
 def exact_sum(column: Column | str, places: int = MONEY) -> Column:
     """Sum in fixed point, so the result does not depend on how rows are partitioned.
 
-    A plain long accumulator: it combines map-side, stays in codegen, and raises
-    on overflow. The sum of no rows is 0.
+    Plain long accumulators: they combine map-side, stay in codegen, and raise on
+    overflow. The sum of no rows is 0.
     """
-    total = F.coalesce(F.sum(fixed_point(column, places)), F.lit(0))
+    total = F.coalesce(_units(column, places), F.lit(0))
     return total.cast("double") / F.lit(float(10**places))
 
 
@@ -77,11 +96,11 @@ def exact_avg(
     column: Column | str, places: int = MONEY, over: WindowSpec | None = None
 ) -> Column:
     """Mean in fixed point, of a group or ``over`` a window; the mean of no rows is NULL."""
-    x = fixed_point(column, places)
-    total, rows = F.sum(x), F.count(x)
+    rows = F.count(fixed_point(column, places))
     if over is not None:
-        total, rows = total.over(over), rows.over(over)
-    return F.try_divide(total.cast("double"), (rows * F.lit(10**places)).cast("double"))
+        rows = rows.over(over)
+    units = _units(column, places, over).cast("double")
+    return F.try_divide(units, rows.cast("double") * F.lit(float(10**places)))
 
 
 def half_even(column: Column, places: int) -> Column:

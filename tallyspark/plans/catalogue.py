@@ -73,7 +73,10 @@ def present(df: DataFrame) -> DataFrame:
             column = column.cast("bigint")
         elif isinstance(kind, T.DateType):
             column = column.cast("string")
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(kind, T.TimestampType):
+            utc = F.to_utc_timestamp(column, F.current_timezone())
+            column = F.date_format(utc, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(kind, T.TimestampNTZType):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         return column.alias(field.name)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
-from functools import cache, cached_property
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,11 +96,14 @@ class StandIns:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
+        self._tables: dict[str, DataFrame] = {}
 
-    @cache
     def table(self, name: str) -> DataFrame:
         """One read per table, by its fixed schema, so no footer is opened to plan a query."""
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.directory}/{name}.parquet")
+        if name not in self._tables:
+            reader = self.spark.read.schema(TABLES[name])
+            self._tables[name] = reader.parquet(f"{self.directory}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def transactions(self) -> DataFrame:

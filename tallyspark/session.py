@@ -16,11 +16,23 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Shuffles start wide enough for joins of whole tables; AQE merges what turns
+# out small. A local session keeps its own small number.
+CLUSTER = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def get_session(app: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
+    """A session; without ``master`` the one spark-submit names."""
     builder = SparkSession.builder.appName(app)
+    defaults = DEFAULTS
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    if not (master or "").startswith("local"):
+        defaults = {**DEFAULTS, **CLUSTER}
+    for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -125,3 +125,15 @@ def test_as_date_reads_text_dates_and_timestamps(spark):
     assert [r[0] for r in df.select(X.as_date(df, "x")).collect()] == [dt.date(2024, 3, 1), None, None]
     df = column(spark, [dt.datetime(2024, 3, 1, 23, 59)], "timestamp_ntz")
     assert df.select(X.as_date(df, "x")).first()[0] == dt.date(2024, 3, 1)
+
+
+def test_tracked_sums_do_not_overflow(spark):
+    """5 * 10**12 a million times over: beyond a long of millionths."""
+    df = spark.range(4).select(F.lit(5e12).alias("x"))
+    total, mean = df.agg(X.exact_sum("x", 6), X.exact_avg("x", 6)).first()
+    assert (total, mean) == (2e13, 5e12)
+
+
+def test_tracked_sums_of_mixed_signs(spark):
+    df = column(spark, [1.25, -2.5, 0.000001, -0.75], "double")
+    assert df.agg(X.exact_sum("x", 6)).first()[0] == -1.999999
