@@ -46,6 +46,8 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.log.level": "ERROR",
+            # Call sites are recorded per Column operation for error messages only.
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     names = os.environ.get("BENCH_QUERIES", "")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tallyspark.functions import (
     distinct_small,
@@ -161,6 +162,12 @@ def _month_flows(
     )
 
 
+def _income_before(last: str, user: WindowSpec) -> Column:
+    """Income of the month before a user's last one, the last that is complete."""
+    then = F.col("datetime") == F.add_months(last, -1)
+    return F.coalesce(F.max(F.when(then, F.col("income"))).over(user), F.lit(0.0))
+
+
 def budget_shortfall(
     finance: DataFrame,
     profit_target: float,
@@ -194,23 +201,18 @@ def savings_series(
     flows = _month_flows(_from_year(finance, start_year), income, not_spending, irregular, keys)
     user = Window.partitionBy(*keys)
     shown = F.when(F.col("net").isNotNull(), F.col("datetime"))
-    before_last = F.add_months(F.max(shown).over(user), -1)
+    spans = flows.withColumns(
+        {
+            "spend_mean": exact_avg("spend", over=user),
+            "first_date": F.min(shown).over(user),
+            "last_date": F.max(shown).over(user),
+            "median_day": F.median(F.unix_date(shown)).over(user),
+            "label_height": F.max("net").over(user) * 1.1,
+        }
+    )
+    shortfall = F.col("spend_mean") + _income_before("last_date", user) - F.lit(profit_target)
     return (
-        flows.withColumn("before_last", before_last)
-        .withColumn("spend_mean", exact_avg("spend", over=user))
-        .withColumn(
-            "income_then",
-            F.coalesce(
-                F.max(F.when(F.col("datetime") == F.col("before_last"), F.col("income"))).over(
-                    user
-                ),
-                F.lit(0.0),
-            ),
-        )
-        .withColumn("first_date", F.min(shown).over(user))
-        .withColumn("last_date", F.max(shown).over(user))
-        .withColumn("median_day", F.median(F.unix_date(shown)).over(user))
-        .withColumn("label_height", F.max("net").over(user) * 1.1)
+        spans.withColumn("shortfall", shortfall)
         .where(F.col("net").isNotNull())
         .select(
             *keys,
@@ -219,13 +221,13 @@ def savings_series(
             "datetime",
             F.col("net").alias("total"),
             F.lit(float(profit_target)).alias("target"),
-            (F.col("spend_mean") + F.col("income_then") - F.lit(profit_target)).alias("shortfall"),
+            "shortfall",
             "first_date",
             "last_date",
             F.date_from_unix_date(F.floor("median_day").cast("int")).alias("median_date"),
             "label_height",
+            half_even(F.col("shortfall"), -1).cast("bigint").alias("shortfall_tens"),
         )
-        .withColumn("shortfall_tens", half_even(F.col("shortfall"), -1).cast("bigint"))
     )
 
 
@@ -241,11 +243,11 @@ def spending_series(
     flows = _month_flows(_from_year(finance, start_year), income, not_spending, (), keys)
     user = Window.partitionBy(*keys)
     shown = F.when(F.col("spend").isNotNull(), F.col("datetime"))
-    earned = F.max(F.when(F.col("datetime") == F.col("before_last"), F.col("income"))).over(user)
+    spans = flows.withColumns(
+        {"spend_mean": exact_avg("spend", over=user), "last_date": F.max(shown).over(user)}
+    )
     return (
-        flows.withColumn("before_last", F.add_months(F.max(shown).over(user), -1))
-        .withColumn("target", -(F.coalesce(earned, F.lit(0.0)) - F.lit(profit_target)))
-        .withColumn("mean_diff", exact_avg("spend", over=user) - F.col("target"))
+        spans.withColumn("target", -(_income_before("last_date", user) - F.lit(profit_target)))
         .where(F.col("spend").isNotNull())
         .select(
             *keys,
@@ -254,7 +256,7 @@ def spending_series(
             "datetime",
             F.col("spend").alias("total"),
             "target",
-            "mean_diff",
+            (F.col("spend_mean") - F.col("target")).alias("mean_diff"),
         )
     )
 

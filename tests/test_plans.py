@@ -115,3 +115,32 @@ def test_large_sides_fall_back_to_shuffled_joins(spark, s):
             assert "SortMergeJoin" in text and "Broadcast" not in text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_hot_parent_is_split_by_the_adaptive_join(spark, s):
+    """A third of all tasks under one category: AQE splits that partition of the join."""
+    from pyspark.sql import functions as F
+
+    hot = F.when(F.col("title").endswith("1"), "11").otherwise(F.col("parentId"))
+    docs = s.task_docs.repartition(8).withColumn("parentId", hot)
+    paths = tasks.category_paths(s.task_categories)
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    expected = tasks.tasks(docs, paths).count()
+    keep = {k: spark.conf.get(k, None) for k in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        joined = tasks.tasks(docs, paths)
+        found = joined.collect()
+        text = plan(joined)
+    finally:
+        for key, value in keep.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert len(found) == expected
+    assert "SortMergeJoin(skew=true)" in text or "skew" in text.split("Initial Plan")[0]
