@@ -10,7 +10,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions import clock_text, exact_avg, exact_sum, half_even, not_in
+from tallyspark.functions import (
+    clock_text,
+    distinct_small,
+    exact_avg,
+    exact_sum,
+    half_even,
+    not_in,
+)
 from tallyspark.functions.expressions import TRACKED, small_mask
 from tallyspark.operators.periods import Period, period_filter
 from tallyspark.operators.sleep import SLEEP_NAMES, mean_of_day
@@ -41,11 +48,7 @@ def scored(
 
 def distinct_weeks(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Weeks present in a selection, whatever the row kind."""
-    return rows.groupBy(*keys).agg(
-        F.bit_count(F.coalesce(F.bit_or(small_mask("week_number")), F.lit(0).cast("bigint")))
-        .cast("bigint")
-        .alias("week_count")
-    )
+    return rows.groupBy(*keys).agg(distinct_small("week_number").alias("week_count"))
 
 
 def scorecard_base(rows: DataFrame, period: Period, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -186,7 +186,7 @@ CTES = {
         SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS title,
                CASE WHEN p_partkey // 10 = 0 THEN 'root' ELSE CAST(p_partkey // 10 AS VARCHAR) END
                  AS parentId
-        FROM part WHERE p_partkey > 0""",
+        FROM part WHERE p_partkey <> 0""",
     "paths": """
         SELECT _id AS node, title AS path, title AS category FROM tree WHERE parentId = 'root'
         UNION ALL
@@ -212,8 +212,9 @@ CTES = {
         SELECT "user", name, CAST(day AS DATE) AS day, time_estimate, start_time, end_time, duration,
                CAST(year(CAST(day AS DATE)) AS BIGINT) AS year,
                CAST(month(CAST(day AS DATE)) AS BIGINT) AS month,
-               CASE WHEN category IN (SELECT p_name || ' ' || CAST(p_partkey AS VARCHAR) FROM part
-                                      WHERE p_partkey BETWEEN 1 AND 9 AND p_size >= 25)
+               CASE WHEN category IN (SELECT title FROM tree JOIN part
+                                        ON _id = CAST(p_partkey AS VARCHAR)
+                                      WHERE parentId = 'root' AND p_size >= 25)
                     THEN category ELSE split_part(parent, '/', 1) END AS category
         FROM tasks""",
 }

@@ -235,29 +235,32 @@ class StandIns:
         )
 
     @cached_property
-    def task_categories(self) -> DataFrame:
-        """Decimal tree of part keys, shared by all users: 137 lies under 13, under 1, under root."""
+    def _tree(self) -> DataFrame:
+        """Decimal tree of part keys, shared by all users: 137 lies under 13, under 1, under root.
+
+        Part 0 stands for the root itself.
+        """
         parent = F.expr("p_partkey div 10")
         return (
             self.table("part")
-            .where(F.col("p_partkey") > 0)
+            .where(F.col("p_partkey") != 0)
             .select(
                 F.col("p_partkey").cast("string").alias("_id"),
                 F.when(parent == 0, "root").otherwise(parent.cast("string")).alias("parentId"),
                 F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("title"),
+                "p_size",
             )
         )
 
-    @cached_property
+    @property
+    def task_categories(self) -> DataFrame:
+        return self._tree.select("_id", "parentId", "title")
+
+    @property
     def task_rollup(self) -> DataFrame:
-        """The large top-level categories."""
-        return (
-            self.table("part")
-            .where((F.col("p_partkey").between(1, 9)) & (F.col("p_size") >= 25))
-            .select(
-                F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("category")
-            )
-        )
+        """The top-level categories of a large size."""
+        top = (F.col("parentId") == "root") & (F.col("p_size") >= 25)
+        return self._tree.where(top).select(F.col("title").alias("category"))
 
     @cached_property
     def task_docs(self) -> DataFrame:
