@@ -40,12 +40,27 @@ class Period:
         return 1, 12
 
     def dates(self) -> tuple[dt.date, dt.date]:
-        """First day, and the day after the last, of the months touched."""
-        first, last = self.months()
+        """First day, and the day after the last, that can lie in the period.
+
+        Weeks 2 to 51 are seven days inside their calendar year. The others may
+        have days at both ends of it, so they span the year.
+        """
+        if self.grain == "week" and 2 <= self.week <= 51:
+            monday = dt.date.fromisocalendar(self.year, self.week, 1)
+            return monday, monday + dt.timedelta(days=7)
+        first, last = (1, 12) if self.grain == "week" else self.months()
         after = dt.date(self.year + last // 12, last % 12 + 1, 1)
         return dt.date(self.year, first, 1), after
 
 
+def within_dates(df: DataFrame, column: str, period: Period | None) -> DataFrame:
+    """Bound a date or timestamp column by a period, as a range a file scan can use."""
+    if period is None:
+        return df
+    start, after = period.dates()
+    return df.where((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(after)))
+
+
 def period_filter(df: DataFrame, period: Period, date: str | None = None) -> DataFrame:
     """Keep the rows of a period by their ``year`` and ``month`` or ``week_number``.
 
@@ -60,7 +75,4 @@ def period_filter(df: DataFrame, period: Period, date: str | None = None) -> Dat
         keep &= F.col("month") == first
     elif (first, last) != (1, 12):
         keep &= F.col("month").between(first, last)
-    if date:
-        start, after = period.dates()
-        keep &= (F.col(date) >= F.lit(start)) & (F.col(date) < F.lit(after))
-    return df.where(keep)
+    return within_dates(df, date, period).where(keep) if date else df.where(keep)

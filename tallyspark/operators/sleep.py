@@ -49,8 +49,9 @@ def sleep_nights(records: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     return nights.where(~F.hour("wakeup").isin(*IMPLAUSIBLE_WAKE_HOURS)).select(
         *keys,
-        *date_parts("wakeup", "year", "month"),
-        iso_week("wakeup").alias("week"),
+        # The date of waking is the grouping key, so filters on its parts move below the grouping.
+        *date_parts("end_date", "year", "month"),
+        iso_week("end_date").alias("week"),
         "bedtime",
         "wakeup",
         F.timestamp_diff("SECOND", F.col("first_start"), F.col("last_end")).alias(

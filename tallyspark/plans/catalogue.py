@@ -554,12 +554,16 @@ def avg_sleep(s):
     return sleep.avg_sleep(_sleep(s))
 
 
-def _scored(s: StandIns) -> DataFrame:
+def _scored(s: StandIns, period: Period | None = None) -> DataFrame:
     return scored_from_raw(
-        s.habit_docs, s.attributes, s.attribute_targets, s.sleep_records, AS_OF
+        s.habit_docs, s.attributes, s.attribute_targets, s.sleep_records, AS_OF, period=period
     )
 
 
+def _base(s: StandIns, period: Period) -> DataFrame:
+    return scorecard.scorecard_base(_scored(s, period), period)
+
+
 def _card(df: DataFrame) -> DataFrame:
     """Seconds are missing for habits and ratings; a nullable number travels as DOUBLE."""
     seconds = ("tod_seconds", "target_seconds")
@@ -578,37 +582,37 @@ def distinct_weeks(s):
 
 @query
 def scorecard_base(s):
-    return _card(scorecard.scorecard_base(_scored(s), JANUARY))
+    return _card(_base(s, JANUARY))
 
 
 @query
 def scorecard_week(s):
-    return _card(scorecard.scorecard_base(_scored(s), WEEK_2))
+    return _card(_base(s, WEEK_2))
 
 
 @query
 def scorecard_quarter(s):
-    return _card(scorecard.scorecard_base(_scored(s), FIRST_QUARTER))
+    return _card(_base(s, FIRST_QUARTER))
 
 
 @query
 def scorecard_year(s):
-    return _card(scorecard.scorecard_base(_scored(s), WHOLE_YEAR))
+    return _card(_base(s, WHOLE_YEAR))
 
 
 @query
 def scorecard_success(s):
-    return _card(scorecard.scorecard_success(scorecard.scorecard_base(_scored(s), WEEK_2)))
+    return _card(scorecard.scorecard_success(_base(s, WEEK_2)))
 
 
 @query
 def scorecard_fail(s):
-    return _card(scorecard.scorecard_fail(scorecard.scorecard_base(_scored(s), WEEK_2)))
+    return _card(scorecard.scorecard_fail(_base(s, WEEK_2)))
 
 
 @query
 def supporting_table(s):
-    return scorecard.supporting_table(scorecard.scorecard_base(_scored(s), WEEK_2))
+    return scorecard.supporting_table(_base(s, WEEK_2))
 
 
 # --- tasks ------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from tallyspark.operators.attributes import format_attributes, weekly_rating
 from tallyspark.operators.habits import habit_history, habit_week
+from tallyspark.operators.periods import Period, within_dates
 from tallyspark.operators.scorecard import scored
 from tallyspark.operators.sleep import format_sleep, sleep_nights
 from tallyspark.operators.tasks import category_paths, tasks
@@ -23,12 +24,18 @@ def scored_table(
     nights: DataFrame,
     as_of: dt.date,
     keys: Sequence[str] = KEYS,
+    period: Period | None = None,
 ) -> DataFrame:
-    """Scorecard input from the habit, attribute and sleep snapshots."""
+    """Scorecard input from the habit, attribute and sleep snapshots.
+
+    ``period`` bounds each source by date ahead of its aggregation. It changes
+    nothing for a card of that period and spares reading the other days.
+    """
+    formatted = format_attributes(attributes, targets, as_of, keys)
     return scored(
-        habit_week(history, keys),
-        weekly_rating(format_attributes(attributes, targets, as_of, keys), keys),
-        format_sleep(nights, keys),
+        habit_week(within_dates(history, "timestamp", period), keys),
+        weekly_rating(within_dates(formatted, "date", period), keys),
+        format_sleep(within_dates(nights, "wakeup", period), keys),
         keys,
     )
 
@@ -40,15 +47,21 @@ def scored_from_raw(
     sleep_records: DataFrame,
     as_of: dt.date,
     keys: Sequence[str] = KEYS,
+    period: Period | None = None,
 ) -> DataFrame:
-    """Scorecard input straight from the landed records."""
+    """Scorecard input straight from the landed records.
+
+    All fragments of a night end on the date of waking, so bounding the
+    fragments' ends keeps nights whole.
+    """
     return scored_table(
         habit_history(habit_docs, keys),
         attributes,
         targets,
-        sleep_nights(sleep_records, keys),
+        sleep_nights(within_dates(sleep_records, "end_wall", period), keys),
         as_of,
         keys,
+        period,
     )
 
 

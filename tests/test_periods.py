@@ -23,6 +23,9 @@ def days(spark):
     "period, keep",
     [
         (Period("week", 2023, week=52), lambda d: d.year == 2023 and d.isocalendar().week == 52),
+        (Period("week", 2023, week=1), lambda d: d.year == 2023 and d.isocalendar().week == 1),
+        (Period("week", 2023, week=2), lambda d: d.year == 2023 and d.isocalendar().week == 2),
+        (Period("week", 2023, week=51), lambda d: d.year == 2023 and d.isocalendar().week == 51),
         (Period("month", 2023, month=12), lambda d: (d.year, d.month) == (2023, 12)),
         (Period("quarter", 2023, month=5), lambda d: d.year == 2023 and d.month in (4, 5, 6)),
         (Period("quarter", 2023, month=12), lambda d: d.year == 2023 and d.month >= 10),
@@ -53,3 +56,12 @@ def test_week_shows_its_month():
     assert Period("week", 2023, month=3, week=10).monthly() == Period("month", 2023, 3, 10)
     with pytest.raises(ValueError):
         Period("week", 2023, week=10).monthly()
+
+
+@pytest.mark.parametrize("year", range(2015, 2035))
+def test_week_dates_hold_every_day_of_the_week(year):
+    day = dt.date(year, 1, 1)
+    while day.year == year:
+        start, after = Period("week", year, week=day.isocalendar().week).dates()
+        assert start <= day < after
+        day += dt.timedelta(days=1)

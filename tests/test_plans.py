@@ -52,6 +52,15 @@ def test_start_year_reaches_the_scan(daily):
     assert "GreaterThanOrEqual(o_orderdate,1999-01-01" in pushed.group(1)
 
 
+def test_scorecard_period_reaches_the_scan(s):
+    period = Period("week", 2024, week=2)
+    rows = scored_from_raw(
+        s.habit_docs, s.attributes, s.attribute_targets, s.sleep_records, AS_OF, period=period
+    )
+    text = plan(scorecard.scorecard_base(rows, period))
+    assert "GreaterThanOrEqual(ts,2024-01-08" in text and "LessThan(ts,2024-01-15" in text
+
+
 def test_only_needed_columns_are_read(daily):
     read = re.findall(r"ReadSchema: struct<([^>]*)", plan(spending.month_sum(daily)))
     assert len(read) == 1 and "o_orderkey" not in read[0] and "o_orderstatus" not in read[0]
