@@ -20,51 +20,123 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pieces remembered by a Python worker; the memory starts anew beyond it.
-REMEMBERED = 600_000
+#: Pieces, and words, remembered by a Python worker; the memory starts anew beyond it.
+REMEMBERED = 500_000
+#: Characters of text taken apart at a time.
+BLOCK_CHARS = 2 << 20
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256 upward."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _mapped(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes."""
+    """Token ids of texts, an end id after each.
 
-    def __init__(self, file: str) -> None:
-        import os
+    Uses the tokenizer's own splitter and model, once for a piece not seen lately. No
+    string of a special token is recognised in a text.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        for piece, found in zip(pieces, self._encode(pieces), strict=True):
-            self.known[piece] = found
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = encode(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces_of(t) for t in texts]
-        wanted = {p for pieces in cut for p in pieces}
-        new = [p for p in wanted if p not in self.known]
-        if new:
-            if len(new) > REMEMBERED // 2:
-                return self._encode(texts)
-            before = len(self.known)
-            self._learn(new)
-            if len(self.known) < before:
-                self._learn([p for p in wanted if p not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.model = self.tokenizer.model
+        self.space = self.split(" ")[0][0]
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            found = np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+            self.words[word] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        # A space and letters are one word, signs after them another: no need to ask the splitter.
+        if piece[:1] == " ":
+            if piece[1:].isalpha():
+                return self._word(self.space + _mapped(piece[1:]))
+            if piece[-1] in ",." and piece[1:-1].isalpha():
+                return self._word(self.space + _mapped(piece[1:-1])) + self._word(piece[-1])
+        return b"".join([self._word(w) for w, _ in self.split(piece)])
+
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part with a space before it."""
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        known, out = self.pieces, []
+        for part in parts:
+            found = known.get(part)
+            if found is None:
+                found = known[part] = self._piece(" " + part)
+            out.append(found)
+        return out
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and their number for each text."""
+        blocks, start, size = [], 0, 0
+        for i, text in enumerate(texts):
+            if i > start and size + len(text) > BLOCK_CHARS:
+                blocks.append(self._block(texts[start:i], end_id))
+                start, size = i, 0
+            size += len(text)
+        blocks.append(self._block(texts[start:], end_id))
+        return tuple(np.concatenate(part) for part in zip(*blocks, strict=True))
+
+    def _block(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, dtype="<i4"), np.zeros(0, dtype=np.int64)
+        split = pc.split_pattern(pa.array(texts, pa.string()), pattern=" ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = coded.dictionary.to_pylist()
+        ids = self._spaced(parts)
+        # Where a cut might not be one of the tokenizer's, the text is cut with more care.
+        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in parts], dtype=bool)
+        careful = np.zeros(len(texts), dtype=bool)
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        careful[owner[odd[which]]] = True
+        careful &= np.diff(first) > 1
+        # The first part of a text has no space before it; it and the end id are entries of their own.
+        for i, text in enumerate(texts):
+            if careful[i]:
+                ids.append(b"".join([self._piece(p) for p in pieces_of(text)]))
+            else:
+                ids.append(self._piece(text[: text.find(" ")] if " " in text else text))
+        ids.append(np.array([end_id], dtype="<u4").tobytes())
+        used = ~careful[owner]
+        used[first[:-1]] = True
+        which[first[:-1]] = len(parts) + np.arange(len(texts))
+        ends = np.cumsum(np.bincount(owner[used], minlength=len(texts)))
+        which = np.insert(which[used], ends, len(ids) - 1)
+        owner = np.insert(owner[used], ends, np.arange(len(texts)))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(sizes) - sizes
+        count = sizes[which]
+        at = np.repeat(begin[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        flat = np.frombuffer(b"".join(ids), dtype="<i4")[at]
+        return flat, np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
 
 
 def pieces_of(text: str) -> list[str]:
@@ -95,20 +167,18 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataF
         encoder = _encoders.get(tokenizer_file) or _encoders.setdefault(
             tokenizer_file, Encoder(tokenizer_file)
         )
-        end, done = np.asarray([end_id], dtype="<u4").tobytes(), 0
+        done = 0
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [found + end for found in encoder.encode(texts)]
-            lengths = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
+            values, lengths = encoder.encode(texts, end_id)
             ends = np.cumsum(lengths)
             offsets = np.concatenate([[0], ends]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(done + ends - lengths),
                     pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(offsets), values),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
                 names=["doc_id", "local_start", "n_tokens", "ids"],
             )
