@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, orc_tokens, sharding
+from tallyspark.llm import chat, compression, decontaminate, orc_tokens, quality, sharding
 from tallyspark.sources.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,22 @@ FROM linked GROUP BY conv_id
 """
 
 
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_qgram_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_passages(docs, benchmark)
+
+
+def op5_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    apart = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs, labels.where(~apart))
+    return quality.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +100,9 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
+    "op3_compression_bands": op3_compression_bands,
+    "op4_qgram_passages": op4_qgram_passages,
+    "op5_neighbour_votes": op5_neighbour_votes,
     "op6_orc_tokens": op6_orc_tokens,
     "op10_byte_shards": op10_byte_shards,
 }
