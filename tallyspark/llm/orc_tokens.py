@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Pieces, and words, remembered by a Python worker; the memory starts anew beyond it.
 REMEMBERED = 500_000
 #: Characters of text taken apart at a time.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 4 << 20
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -41,6 +41,15 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+_SIGNS = ".,;:!?#$%&*|"
+#: Stands for a part that may not be cut off at its spaces.
+_ODD = bytearray()
+
+
+def _odd(part: str) -> bool:
+    return not part or part[0].isspace() or part[-1].isspace()
+
+
 def _mapped(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
 
@@ -72,25 +81,30 @@ class Encoder:
         return found
 
     def _piece(self, piece: str) -> bytes:
-        # A space and letters are one word, signs after them another: no need to ask the splitter.
-        if piece[:1] == " ":
-            if piece[1:].isalpha():
-                return self._word(self.space + _mapped(piece[1:]))
-            if piece[-1] in ",." and piece[1:-1].isalpha():
-                return self._word(self.space + _mapped(piece[1:-1])) + self._word(piece[-1])
+        """Letters with a space before them are one word, signs after them another, and a single
+        line feed between visible characters a third; anything else goes to the splitter."""
+        space, body = (self.space, piece[1:]) if piece[:1] == " " else ("", piece)
+        letters = body.rstrip(_SIGNS)
+        if letters.isalpha():
+            found = self._word(space + _mapped(letters))
+            return found if len(letters) == len(body) else found + self._word(body[len(letters) :])
+        if "\n" in body:
+            lines = body.split("\n")
+            if not any(map(_odd, lines)):
+                feed = self._word(_LETTERS[10])
+                lines[0] = piece[: len(lines[0]) + len(piece) - len(body)]
+                return feed.join(map(self._piece, lines))
         return b"".join([self._word(w) for w, _ in self.split(piece)])
 
     def _spaced(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part with a space before it."""
+        """Ids of each part with a space before it, or _ODD."""
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        known, out = self.pieces, []
+        known = self.pieces
         for part in parts:
-            found = known.get(part)
-            if found is None:
-                found = known[part] = self._piece(" " + part)
-            out.append(found)
-        return out
+            if part not in known:
+                known[part] = self._piece(" " + part) if part.isalpha() or not _odd(part) else _ODD
+        return list(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and their number for each text."""
@@ -113,7 +127,7 @@ class Encoder:
         parts = coded.dictionary.to_pylist()
         ids = self._spaced(parts)
         # Where a cut might not be one of the tokenizer's, the text is cut with more care.
-        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in parts], dtype=bool)
+        odd = np.fromiter((x is _ODD for x in ids), bool, len(ids))
         careful = np.zeros(len(texts), dtype=bool)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         careful[owner[odd[which]]] = True
