@@ -38,7 +38,7 @@ class Settings:
 
 
 BATCH_CHARS = 1 << 20
-_B = np.uint64(0x9E3779B97F4A7C15)
+_B = 0x9E3779B97F4A7C15
 
 
 def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
@@ -46,22 +46,20 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     done, out, power, width = 0, None, _B, 1
-    with np.errstate(over="ignore"):
-        while True:
-            if q & width:
-                if out is None:
-                    out = x
-                else:
-                    n = len(x) - done
-                    out = out[:n] * power + x[done : done + n]
-                done += width
-            if done == q:
-                break
-            x = x[:-width] * power + x[width:]
-            power = power * power
-            width *= 2
-        out = out[: max(0, len(codes) - q + 1)]
-        out = out * np.uint64(0x94D049BB133111EB)
+    while True:
+        if q & width:
+            if out is None:
+                out = x
+            else:
+                n = len(x) - done
+                out = out[:n] * np.uint64(power) + x[done : done + n]
+            done += width
+        if done == q:
+            break
+        x = x[:-width] * np.uint64(power) + x[width:]
+        power = power * power % (1 << 64)
+        width *= 2
+    out = out[: max(0, len(codes) - q + 1)] * np.uint64(0x94D049BB133111EB)
     return out ^ (out >> np.uint64(31))
 
 

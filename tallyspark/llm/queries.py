@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, compression, decontaminate, orc_tokens, quality, sharding
+from tallyspark.llm import (
+    chat,
+    compression,
+    decontaminate,
+    orc_tokens,
+    probminhash,
+    quality,
+    repeats,
+    sharding,
+)
 from tallyspark.sources.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +89,22 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_digest(spark, path)
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("removed")
+    covered = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        covered.alias("n_removed"),
+        F.size(spans).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     sized = table(spark, sf_dir, "documents").select(
@@ -104,6 +129,8 @@ QUERIES: dict[str, Query] = {
     "op4_qgram_passages": op4_qgram_passages,
     "op5_neighbour_votes": op5_neighbour_votes,
     "op6_orc_tokens": op6_orc_tokens,
+    "op7_probminhash": op7_probminhash,
+    "op9_suffix_repeats": op9_suffix_repeats,
     "op10_byte_shards": op10_byte_shards,
 }
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
