@@ -11,7 +11,9 @@ from tallyspark.llm import (
     chat,
     compression,
     decontaminate,
+    mixing,
     orc_tokens,
+    pii,
     probminhash,
     quality,
     repeats,
@@ -64,6 +66,20 @@ FROM linked GROUP BY conv_id
 """
 
 
+#: Expected tokens of each domain: hardly any abusive or low text.
+TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+
+
+def op2_domain_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = mixing.fit(docs, mixing.label_domains(labels))
+    weighted = mixing.weigh(docs, model)
+    steps = mixing.fit_rates(weighted, [TARGETS.get(d, 0.0) for d in model.domains], 1.0)
+    rated = weighted.withColumn("rate", mixing.rates(F.col("p"), steps))
+    chances = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rated.select("doc_id", "tokens", *chances, "rate", mixing.copies(F.col("rate")).alias("copies"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(table(spark, sf_dir, "documents"))
 
@@ -93,6 +109,21 @@ def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs)).withColumn("base", F.filter("spans", lambda s: ~s["added"]))
+
+    def told(spans: str):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = map(count, pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("removed")
     covered = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
@@ -125,11 +156,13 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
+    "op2_domain_mix": op2_domain_mix,
     "op3_compression_bands": op3_compression_bands,
     "op4_qgram_passages": op4_qgram_passages,
     "op5_neighbour_votes": op5_neighbour_votes,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_probminhash": op7_probminhash,
+    "op8_boosted_pii": op8_boosted_pii,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_byte_shards": op10_byte_shards,
 }
