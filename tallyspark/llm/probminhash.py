@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.sources.workspace import settle
@@ -149,6 +149,11 @@ def _node() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
+def _id_key() -> Column:
+    """The id as a join key that NULL has too."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
 def _keys(docs: DataFrame, settings: Settings) -> DataFrame:
     """``doc_id``, ``node`` (digest of the text) and the keys of its bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -189,8 +194,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             )
 
     # One document stands for all of one text.
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = known.withColumn("node", _node()).join(nodes, ["node", "doc_id"], "left_semi")
+    known = docs.select(_id_key().alias("id_key"), "text")
+    known = known.withColumn("node", _node()).join(nodes, ["node", "id_key"], "left_semi")
     return known.select("node", "text").mapInArrow(rows, "node binary, grams binary").dropDuplicates(["node"])
 
 
@@ -255,14 +260,14 @@ def _linked(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """All documents with their node, and the class of each node that has links."""
     keyed = settle(_keys(docs, settings), "dedup-keys")
     texts = keyed.groupBy("node").agg(
-        F.min(F.col("doc_id").cast("bigint")).alias("doc_id"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")
     )
     exploded = texts.select("node", F.explode("keys").alias("key"))
     several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(exploded.join(several, "key"), "dedup-members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = settle(members.drop("n").join(degree, "node"), "dedup-members")
-    wanted = texts.select("node", "doc_id").join(degree, "node", "left_semi")
+    wanted = texts.select("node", _id_key().alias("id_key")).join(degree, "node", "left_semi")
     sets = settle(_sets(docs, wanted, settings.words), "dedup-sets")
     edges = comps = tested = None
     while True:
@@ -325,16 +330,16 @@ def _leaders(members: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document of each class, the one of least id (NULL last), all columns as they are.
 
-    Of rows that share this id within a class one is kept, of equal text by a hash.
+    Of rows that share this id and the text one is kept.
     """
     documents, comps = _linked(docs, settings)
     named = documents.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     chosen = named.groupBy("comp").agg(
         F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("c")
     )
-    chosen = chosen.select(F.col("c.doc_id").alias("_d_id"), F.col("c.node").alias("_d_node"))
-    numbered = docs.withColumn("_d_node_of", _node())
-    match = (F.col("_d_node_of") == F.col("_d_node")) & F.col("doc_id").eqNullSafe(F.col("_d_id"))
-    kept = numbered.join(chosen, match, "left_semi")
-    row = Window.partitionBy("_d_node_of").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return kept.withColumn("_d_row", F.row_number().over(row)).where("_d_row = 1").select(*docs.columns)
+    chosen = chosen.select("c.doc_id", F.col("c.node").alias("_d_node"))
+    chosen = chosen.select("_d_node", _id_key().alias("_d_key"))
+    keyed = docs.withColumns({"_d_node": _node(), "_d_key": _id_key()})
+    # Joined and freed of repeats on one distribution: the texts are shuffled once.
+    kept = keyed.join(chosen, ["_d_node", "_d_key"], "left_semi").dropDuplicates(["_d_node", "_d_key"])
+    return kept.select(*docs.columns)

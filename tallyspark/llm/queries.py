@@ -96,12 +96,16 @@ def op5_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
-def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_file() -> str:
     import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "token-ids")
     docs = table(spark, sf_dir, "documents")
-    orc_tokens.write_token_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    orc_tokens.write_token_ids(docs, path, tokenizer_file())
     return orc_tokens.token_digest(spark, path)
 
 
