@@ -9,11 +9,12 @@ Registers are grouped to bands; texts with an equal band are candidates, and a l
 whose shingle sets have an exact Jaccard similarity of ``similarity`` or more. Classes are the
 connected components of the links. Equal texts are one node from the start.
 
-Large buckets are not expanded to pairs. In each round every bucket whose members are not yet
-in one class picks its best connected members as leaders; they are compared with the members of
-other classes and then leave the bucket, so a bucket of copies joins in a round or two. Once
-the pairs left are no more than ``FINISH`` a row, they are compared at once. Every pair of a
-bucket is thus compared or already in one class.
+Large buckets are not expanded to pairs. First every member of a bucket is compared with one
+leader, the member with most candidates, which joins most copies. Where members of a bucket are
+still of different classes, the buckets they share make a family. A family's texts are dealt
+into blocks of about ``BLOCK``; a task gets two blocks and compares what shares a band and is
+not yet in one class, so a text is sent once for each block of its family. Every pair of
+a bucket is thus compared or already in one class, and no pair is written but the links.
 
 Edge cases: words are runs of bytes other than space and \\t to \\r; a text with one to four
 words has one shingle, all its words; a text without words is like equal texts only; a NULL
@@ -36,8 +37,7 @@ from pyspark.sql import functions as F
 from tallyspark.sources.workspace import settle
 
 CHUNK = 1 << 20
-FINISH = 4
-LEADERS = 4
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -269,62 +269,80 @@ def _linked(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     members = settle(members.drop("n").join(degree, "node"), "dedup-members")
     wanted = texts.select("node", _id_key().alias("id_key")).join(degree, "node", "left_semi")
     sets = settle(_sets(docs, wanted, settings.words), "dedup-sets")
-    edges = comps = tested = None
-    while True:
-        if comps is not None:
-            members = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            members = members.withColumn("comp", F.col("node"))
-        per_class = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-        mixed = (
-            per_class.groupBy("key")
-            .agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("c"))
-            .where("c > 1")
-            .select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("left"))
-        )
-        members = settle(members.join(mixed, "key"), "dedup-members")
-        size = members.agg(F.count(F.lit(1)), F.sum("left")).first()
-        if not size[0]:
-            break
-        pairs_left = members.select("key", "left").distinct().agg(F.sum("left")).first()[0]
-        last = pairs_left <= FINISH * size[0]
-        others = members.select("key", F.col("node").alias("m"), F.col("comp").alias("m_comp"))
-        if last:
-            leaders = members.select("key", F.col("node").alias("l"), F.col("comp").alias("l_comp"))
-        else:
-            leaders = _leaders(members)
-        pairs = (
-            leaders.join(others, "key")
-            .where(F.col("l_comp") != F.col("m_comp"))
-            .select(F.least("l", "m").alias("a"), F.greatest("l", "m").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "dedup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _verified(pairs, sets, settings.similarity)
-        edges = settle(found if edges is None else edges.unionByName(found), "dedup-links")
-        comps = components(edges)
-        if last:
-            break
-        led = leaders.select("key", F.col("l").alias("node"))
-        members = members.drop("comp", "left").join(led, ["key", "node"], "left_anti")
-    if comps is None:
-        comps = keyed.select("node", F.col("node").alias("comp")).limit(0)
-    return keyed.select("doc_id", "node"), comps
-
-
-def _leaders(members: DataFrame) -> DataFrame:
-    """A few members of each bucket: the best connected first."""
-    best = members.groupBy("key").agg(
-        *[
-            F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(LEADERS)) == i, F.struct("degree", "node", "comp"))).alias(f"l{i}")
-            for i in range(LEADERS)
-        ]
+    best = F.max(F.struct("degree", "node")).alias("l")
+    leaders = members.groupBy("key").agg(best).select("key", F.col("l.node").alias("leader"))
+    led = members.join(leaders, "key").where(F.col("leader") != F.col("node"))
+    pairs = led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    links = settle(_verified(pairs, sets, settings.similarity), "dedup-links")
+    comps = components(links)
+    more = _family_links(members, sets, comps, texts, settings)
+    every = settle(links.unionByName(more), "dedup-links")
+    return keyed.select("doc_id", "node"), components(every)
+
+
+def _family_links(
+    members: DataFrame, sets: DataFrame, comps: DataFrame, texts: DataFrame, settings: Settings
+) -> DataFrame:
+    """Links between different classes that share a bucket."""
+    classed = members.select("key", "node").join(comps, "node", "left")
+    classed = classed.withColumn("comp", F.coalesce("comp", "node"))
+    range_ = classed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("root"))
+    mixed = settle(classed.join(range_.where("low <> high"), "key").select("node", "comp", "root"), "dedup-mixed")
+    families = components(mixed.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    sizes = families.groupBy(F.col("comp").alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    families = families.select("node", F.col("comp").alias("family"))
+    known = (
+        families.join(mixed.select("node", "comp").distinct(), "node")
+        .join(sizes, "family")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(texts.select("node", "keys"), "node")
+        .join(sets, "node")
     )
-    stacked = best.select("key", F.explode(F.array_compact(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
-    return stacked.select("key", F.col("l.node").alias("l"), F.col("l.comp").alias("l_comp"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    dealt = known.select("family", "node", "comp", "block", "keys", "grams", other.alias("other"))
+    dealt = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    return dealt.groupBy("family", "x", "y").applyInPandas(_compare_blocks(settings), "a binary, b binary")
+
+
+def _compare_blocks(settings: Settings):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
+        keys = np.stack([np.asarray(k, dtype=np.int64) for k in rows["keys"]])
+        grams = [np.frombuffer(g, "<u8") for g in rows["grams"]]
+        sizes = np.array([len(g) for g in grams])
+        names = np.unique(rows["comp"].to_numpy(dtype=object), return_inverse=True)[1]
+        block, x, y = rows["block"].to_numpy(), rows["x"].iloc[0], rows["y"].iloc[0]
+        parent = list(range(len(rows)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        shared = np.zeros((len(rows), len(rows)), dtype=np.int16)
+        for k in keys.T:
+            shared += k[:, None] == k[None, :]
+        able = np.triu(shared > 0, 1) & (names[:, None] != names[None, :])
+        if x != y:
+            able &= block[:, None] != block[None, :]
+        low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+        able &= low >= settings.similarity * high
+        i, j = np.nonzero(able)
+        likely = np.argsort(-shared[i, j], kind="stable")
+        out = []
+        for a, b in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+            u, v = root(int(names[a])), root(int(names[b]))
+            if u == v:
+                continue
+            both = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
+            if both >= settings.similarity * (sizes[a] + sizes[b] - both):
+                parent[u] = v
+                out.append((rows["node"][a], rows["node"][b]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return compare
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
