@@ -173,7 +173,7 @@ class Trees:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, settings: Settings) -> None:
         self.depth = settings.depth
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, settings.bins)))[:-1] for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, settings.bins)))[1:] for c in x.T]
         binned = self._bin(x)
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.base, self.trees = float(np.log(share / (1 - share))), []
