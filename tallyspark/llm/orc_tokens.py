@@ -16,6 +16,7 @@ no row; other columns are not written. One document's ids must fit in one Arrow
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Pieces, and words, remembered by a Python worker; the memory starts anew beyond it.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: Characters of text taken apart at a time.
 BLOCK_CHARS = 4 << 20
 _encoders: dict[str, "Encoder"] = {}
@@ -71,39 +72,53 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _ids(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
-            found = np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
-            self.words[word] = found
+            found = self.words[word] = self._ids(word)
+        return found
+
+    def _letters(self, letters: str) -> bytes:
+        """Ids of letters with a space before them: one word."""
+        found = self.pieces.get(letters)
+        if found is None:
+            found = self.pieces[letters] = self._ids(self.space + _mapped(letters))
         return found
 
+    def _spaced(self, part: str) -> bytes:
+        """Ids of a part with a space before it: letters are a word, signs after them another."""
+        letters = part.rstrip(_SIGNS)
+        if letters.isalpha():
+            found = self._letters(letters)
+            return found if len(letters) == len(part) else found + self._word(part[len(letters) :])
+        return _ODD if _odd(part) else self._piece(" " + part)
+
     def _piece(self, piece: str) -> bytes:
-        """Letters with a space before them are one word, signs after them another, and a single
-        line feed between visible characters a third; anything else goes to the splitter."""
-        space, body = (self.space, piece[1:]) if piece[:1] == " " else ("", piece)
-        letters = body.rstrip(_SIGNS)
+        """Ids of any piece; a single line feed between visible characters is a word of its own."""
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if not any(map(_odd, [lines[0].removeprefix(" "), *lines[1:]])):
+                first = self._spaced(lines[0][1:]) if lines[0][0] == " " else self._piece(lines[0])
+                return self._word(_LETTERS[10]).join([first, *map(self._piece, lines[1:])])
+        letters = piece.rstrip(_SIGNS)
         if letters.isalpha():
-            found = self._word(space + _mapped(letters))
-            return found if len(letters) == len(body) else found + self._word(body[len(letters) :])
-        if "\n" in body:
-            lines = body.split("\n")
-            if not any(map(_odd, lines)):
-                feed = self._word(_LETTERS[10])
-                lines[0] = piece[: len(lines[0]) + len(piece) - len(body)]
-                return feed.join(map(self._piece, lines))
+            found = self._word(_mapped(letters))
+            return found if len(letters) == len(piece) else found + self._word(piece[len(letters) :])
         return b"".join([self._word(w) for w, _ in self.split(piece)])
 
-    def _spaced(self, parts: list[str]) -> list[bytes]:
+    def _all_spaced(self, parts: list[str]) -> list[bytes]:
         """Ids of each part with a space before it, or _ODD."""
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         known = self.pieces
         for part in parts:
             if part not in known:
-                known[part] = self._piece(" " + part) if part.isalpha() or not _odd(part) else _ODD
+                known[part] = self._spaced(part)
         return list(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +140,7 @@ class Encoder:
         coded = split.values.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         parts = coded.dictionary.to_pylist()
-        ids = self._spaced(parts)
+        ids = self._all_spaced(parts)
         # Where a cut might not be one of the tokenizer's, the text is cut with more care.
         odd = np.fromiter((x is _ODD for x in ids), bool, len(ids))
         careful = np.zeros(len(texts), dtype=bool)
