@@ -40,8 +40,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents thinned out by domain, each at most once."""
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
-    model = mixing.fit(docs, mixing.label_domains(labels))
-    return mixing.mix(docs, model, TARGETS, BUDGET)
+    model, measured = mixing.fit_measured(docs, mixing.label_domains(labels))
+    return mixing.mix(docs, model, TARGETS, BUDGET, measured=measured)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,39 +61,56 @@ def _text() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def tokens() -> Column:
-    """Words between single spaces; the unit of weight."""
-    return F.when(F.length(_text()) == 0, 0).otherwise(F.size(F.split(_text(), " "))).cast("bigint")
-
-
 def _bin(value: Column, ends: tuple[float, ...]) -> Column:
     return reduce(lambda a, b: a + b, [(value > e).cast("int") for e in ends])
 
 
-def _bins(words: tuple[tuple[str, ...], ...]) -> Column:
-    """One bin number a feature."""
-    text, size = _text(), F.greatest(F.length(_text()), F.lit(1))
-    parts = F.split(text, " ")
+def measure(docs: DataFrame, words: tuple[tuple[str, ...], ...], *keep: str) -> DataFrame:
+    """The columns ``keep``, ``_m_tokens`` (words between single spaces, the unit of weight) and
+    ``_m_bins``, one bin number a feature.
+
+    In steps, so that the lower-cased and the split text are made once a row.
+    """
+    parts = docs.select(
+        *keep,
+        _text().alias("_m_text"),
+        F.lower(_text()).alias("_m_lower"),
+        F.split(_text(), " ").alias("_m_parts"),
+    )
+    text, size = F.col("_m_text"), F.greatest(F.length("_m_text"), F.lit(1))
 
     def share(signs: str) -> Column:
         return (F.length(text) - F.length(F.translate(text, signs, ""))) / size
 
-    found = [
-        _bin(share(SIGNS), SHARES),
-        _bin(share(UPPER), SHARES),
-        _bin(F.size(F.array_distinct(parts)) / F.size(parts), RATIOS),
-        _bin(F.length(text).cast("double"), (200.0, 1000.0, 5000.0, 20000.0)),
+    values = [
+        (share(SIGNS), SHARES),
+        (share(UPPER), SHARES),
+        (F.size(F.array_distinct("_m_parts")) / F.size("_m_parts"), RATIOS),
+        (F.length(text).cast("double"), (200.0, 1000.0, 5000.0, 20000.0)),
     ]
-    lower = F.lower(text)
     for group in words:
         if group:
-            hits = reduce(lambda a, b: a + b, [F.contains(lower, F.lit(w)).cast("int") for w in group])
-            found.append(_bin(hits.cast("double"), HITS))
-    return F.array(*found)
+            hits = [F.contains(F.col("_m_lower"), F.lit(w)).cast("int") for w in group]
+            values.append((reduce(lambda a, b: a + b, hits).cast("double"), HITS))
+    tokens = F.when(F.length(text) == 0, 0).otherwise(F.size("_m_parts")).cast("bigint")
+    valued = parts.select(
+        *keep, tokens.alias("_m_tokens"), *[v.alias(f"_m_{i}") for i, (v, _) in enumerate(values)]
+    )
+    bins = F.array(*[_bin(F.col(f"_m_{i}"), ends) for i, (_, ends) in enumerate(values)])
+    return valued.select(*keep, "_m_tokens", bins.alias("_m_bins"))
 
 
 def fit(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """``labelled``: doc_id and domain (text). Domains are in alphabetical order."""
+    return fit_measured(docs, labelled, settings)[0]
+
+
+def fit_measured(
+    docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()
+) -> tuple[Model, DataFrame]:
+    """The model, and all documents as ``measure`` sees them, written once.
+
+    ``labelled``: doc_id and domain (text). Domains are in alphabetical order.
+    """
     known = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "domain").distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(settings.sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -119,8 +136,9 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -
         )
         words.append(tuple(r.w for r in best.collect()))
     words = tuple(words)
-    binned = docs.select("doc_id", _bins(words).alias("bins")).join(known, "doc_id")
-    counted = binned.select("domain", F.posexplode("bins").alias("f", "b")).groupBy("domain", "f", "b")
+    measured = settle(measure(docs, words, "doc_id"), "mix-measured")
+    binned = measured.join(known, "doc_id")
+    counted = binned.select("domain", F.posexplode("_m_bins").alias("f", "b")).groupBy("domain", "f", "b")
     counts = {(r.domain, r.f, r.b): r.n for r in counted.agg(F.count(F.lit(1)).alias("n")).collect()}
     lengths = [len(SHARES), len(SHARES), len(RATIOS), 4, *[len(HITS) for g in words if g]]
     mass = [sum(n for (d, f, _), n in counts.items() if d == domain and f == 0) for domain in domains]
@@ -135,14 +153,16 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -
         for f, bins in enumerate(lengths)
     )
     prior = tuple(math.log((m + 1) / (sum(mass) + len(domains))) for m in mass)
-    return Model(domains, words, prior, likelihood)
+    return Model(domains, words, prior, likelihood), measured
 
 
 def posteriors(model: Model) -> Column:
-    """An array of the probabilities of ``model.domains`` for the row's ``text``."""
+    """An array of the probabilities of ``model.domains`` for the row's ``_m_bins``."""
+    if not model.domains:
+        return F.array().cast("array<double>")
     table = F.lit([[list(v) for v in feature] for feature in model.likelihood])
     scores = F.aggregate(
-        F.arrays_zip(_bins(model.words).alias("b"), table.alias("l")),
+        F.arrays_zip(F.col("_m_bins").alias("b"), table.alias("l")),
         F.lit(list(model.prior)),
         lambda a, x: F.zip_with(a, F.element_at(x["l"], x["b"] + 1), lambda p, q: p + q),
     )
@@ -213,19 +233,31 @@ def copies(rate: Column, at_most: int | None = None) -> Column:
     return F.least(whole, F.lit(at_most)) if at_most is not None else whole
 
 
-def weigh(docs: DataFrame, model: Model) -> DataFrame:
+def weigh(docs: DataFrame, model: Model, measured: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``tokens`` and ``p`` of every document, written once for the steps to read."""
-    return settle(docs.select("doc_id", tokens().alias("tokens"), posteriors(model).alias("p")), "mix-weights")
-
-
-def mix(docs: DataFrame, model: Model, targets: dict[str, float], budget: float, at_most: int = 1, settings: Settings = Settings()) -> DataFrame:
+    measured = measure(docs, model.words, "doc_id") if measured is None else measured
+    p = posteriors(model).alias("p")
+    return settle(measured.select("doc_id", F.col("_m_tokens").alias("tokens"), p), "mix-weights")
+
+
+def mix(
+    docs: DataFrame,
+    model: Model,
+    targets: dict[str, float],
+    budget: float,
+    at_most: int = 1,
+    settings: Settings = Settings(),
+    measured: DataFrame | None = None,
+) -> DataFrame:
     """The documents, each as often as its rate settles on, ``at_most`` times; no shuffle of texts."""
-    steps = fit_rates(weigh(docs, model), [targets.get(d, 0.0) for d in model.domains], budget, settings)
-    rated = docs.withColumn("_m_copies", copies(rates(posteriors(model), steps), at_most))
-    if at_most == 1:
-        return rated.where("_m_copies >= 1").select(*docs.columns)
-    again = F.explode(F.expr("sequence(1, cast(_m_copies as int))"))
-    return rated.where("_m_copies >= 1").withColumn("_m_copy", again).select(*docs.columns)
+    weighted = weigh(docs, model, measured)
+    steps = fit_rates(weighted, [targets.get(d, 0.0) for d in model.domains], budget, settings)
+    seen = measure(docs, model.words, *docs.columns)
+    rated = seen.withColumn("_m_copies", copies(rates(posteriors(model), steps), at_most))
+    kept = rated.where("_m_copies >= 1")
+    if at_most > 1:
+        kept = kept.withColumn("_m_copy", F.explode(F.expr("sequence(1, cast(_m_copies as int))")))
+    return kept.select(*docs.columns)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

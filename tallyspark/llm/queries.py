@@ -72,8 +72,8 @@ TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
 
 def op2_domain_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = mixing.fit(docs, mixing.label_domains(labels))
-    weighted = mixing.weigh(docs, model)
+    model, measured = mixing.fit_measured(docs, mixing.label_domains(labels))
+    weighted = mixing.weigh(docs, model, measured)
     steps = mixing.fit_rates(weighted, [TARGETS.get(d, 0.0) for d in model.domains], 1.0)
     rated = weighted.withColumn("rate", mixing.rates(F.col("p"), steps))
     chances = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
