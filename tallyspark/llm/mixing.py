@@ -23,17 +23,18 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.sources.workspace import settle
 
 #: Upper ends of bins; a value above all of them is in the last bin.
 SHARES = (0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
-RATIOS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 HITS = (0.5, 1.5, 2.5, 4.5)
-SIGNS = "#*$%&|<>!{}[]\\^~@=_"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÇÑÓÍÚ"
+SIGNS = r"[#*$%&|<>!{}\[\]\\^~@=_]"
+#: A word three times or more in a row.
+RUNS = r"(?<!\S)(\S++)(?:\s\1){2,}(?!\S)"
+UPPER = r"[A-ZÀ-ÖØ-Þ]"
 
 
 @dataclass(frozen=True)
@@ -69,30 +70,29 @@ def measure(docs: DataFrame, words: tuple[tuple[str, ...], ...], *keep: str) ->
     """The columns ``keep``, ``_m_tokens`` (words between single spaces, the unit of weight) and
     ``_m_bins``, one bin number a feature.
 
-    In steps, so that the lower-cased and the split text are made once a row.
+    Only expressions that read a text once, without copies of it: patterns and searches.
     """
     parts = docs.select(
         *keep,
         _text().alias("_m_text"),
-        F.lower(_text()).alias("_m_lower"),
-        F.split(_text(), " ").alias("_m_parts"),
+        F.size(F.split(_text(), " ")).alias("_m_parts"),
     )
     text, size = F.col("_m_text"), F.greatest(F.length("_m_text"), F.lit(1))
 
     def share(signs: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, signs, ""))) / size
+        return F.regexp_count(text, F.lit(signs)) / size
 
     values = [
         (share(SIGNS), SHARES),
         (share(UPPER), SHARES),
-        (F.size(F.array_distinct("_m_parts")) / F.size("_m_parts"), RATIOS),
+        (F.regexp_count(text, F.lit(RUNS)) / F.col("_m_parts"), SHARES),
         (F.length(text).cast("double"), (200.0, 1000.0, 5000.0, 20000.0)),
     ]
     for group in words:
         if group:
-            hits = [F.contains(F.col("_m_lower"), F.lit(w)).cast("int") for w in group]
+            hits = [F.contains(text, F.lit(w)).cast("int") for w in group]
             values.append((reduce(lambda a, b: a + b, hits).cast("double"), HITS))
-    tokens = F.when(F.length(text) == 0, 0).otherwise(F.size("_m_parts")).cast("bigint")
+    tokens = F.when(F.length(text) == 0, 0).otherwise(F.col("_m_parts")).cast("bigint")
     valued = parts.select(
         *keep, tokens.alias("_m_tokens"), *[v.alias(f"_m_{i}") for i, (v, _) in enumerate(values)]
     )
@@ -113,34 +113,31 @@ def fit_measured(
     """
     known = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "domain").distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(settings.sample)
+    sample = settle(sample, "mix-sample")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    spoken = chosen.select("domain", F.explode(F.array_distinct(F.split(F.lower(_text()), r"[^\p{L}]+"))).alias("w"))
+    spoken = chosen.select("domain", F.explode(F.array_distinct(F.split(_text(), r"[^\p{L}]+"))).alias("w"))
     by_word = spoken.where(F.length("w") > 2).groupBy("w", "domain").agg(F.count(F.lit(1)).alias("n"))
     by_word = settle(by_word, "mix-words")
     sizes = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = tuple(sorted(sizes))
     everywhere = by_word.groupBy("w").agg(F.sum("n").alias("all"))
     total = sum(sizes.values())
-    words = []
-    for domain in domains:
-        inside, outside = sizes[domain] + 1.0, total - sizes[domain] + 1.0
-        odds = F.log((F.col("n") + 0.5) / inside) - F.log((F.col("all") - F.col("n") + 0.5) / outside)
-        best = (
-            by_word.where(F.col("domain") == domain)
-            .join(everywhere, "w")
-            .where(F.col("n") >= settings.least_documents)
-            .select("w", "n", odds.alias("odds"))
-            .where(F.col("odds") >= settings.least_log_odds)
-            .orderBy(F.desc("n"), "w")
-            .limit(settings.words)
-        )
-        words.append(tuple(r.w for r in best.collect()))
-    words = tuple(words)
+    inside = F.element_at(F.create_map(*[F.lit(x) for d in domains for x in (d, float(sizes[d]))]), F.col("domain")) if domains else F.lit(0.0)
+    odds = F.log((F.col("n") + 0.5) / (inside + 1)) - F.log((F.col("all") - F.col("n") + 0.5) / (total - inside + 1))
+    telling = (
+        by_word.join(everywhere, "w")
+        .where(F.col("n") >= settings.least_documents)
+        .where(odds >= settings.least_log_odds)
+        .withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "w")))
+        .where(F.col("place") <= settings.words)
+    )
+    chosen_words = sorted((r.domain, r.place, r.w) for r in telling.collect())
+    words = tuple(tuple(w for d, _, w in chosen_words if d == domain) for domain in domains)
     measured = settle(measure(docs, words, "doc_id"), "mix-measured")
     binned = measured.join(known, "doc_id")
     counted = binned.select("domain", F.posexplode("_m_bins").alias("f", "b")).groupBy("domain", "f", "b")
     counts = {(r.domain, r.f, r.b): r.n for r in counted.agg(F.count(F.lit(1)).alias("n")).collect()}
-    lengths = [len(SHARES), len(SHARES), len(RATIOS), 4, *[len(HITS) for g in words if g]]
+    lengths = [len(SHARES), len(SHARES), len(SHARES), 4, *[len(HITS) for g in words if g]]
     mass = [sum(n for (d, f, _), n in counts.items() if d == domain and f == 0) for domain in domains]
     likelihood = tuple(
         tuple(
