@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import statistics
+import tempfile
 import time
 
 from tallyspark.plans.catalogue import queries
@@ -37,6 +39,7 @@ def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    work = tempfile.mkdtemp(prefix="bench-work-")
     spark = get_session(
         "bench",
         f"local[{cpus}]",
@@ -46,6 +49,7 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.log.level": "ERROR",
+            "spark.checkpoint.dir": work,
             # Call sites are recorded per Column operation for error messages only.
             "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
@@ -72,6 +76,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    shutil.rmtree(work, ignore_errors=True)
 
 
 if __name__ == "__main__":

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import WindowSpec
 
-# Decimal places kept exactly by sums and means: cents for money, millionths
-# for tracked values.
-MONEY = 2
-TRACKED = 6
+from tallyspark.schemas import MONEY
 
 
 def _col(column: Column | str) -> Column:
@@ -58,49 +55,44 @@ def millis_to_date(column: Column) -> Column:
     return F.to_date(F.timestamp_millis(column.cast("bigint")))
 
 
-def fixed_point(column: Column | str, places: int) -> Column:
-    x = _col(column).cast("double")
-    return F.when(~F.isnan(x), F.rint(x * F.lit(float(10**places))).cast("bigint"))
+def exact(column: Column | str, kind: str = MONEY) -> Column:
+    """The value as an exact decimal; NULL where none can hold it."""
+    return _col(column).try_cast(kind)
 
 
-def _units(column: Column | str, places: int, over: WindowSpec | None = None) -> Column:
-    """Total in units of the last kept place.
+def beyond(column: Column | str, kind: str = MONEY) -> Column:
+    """Infinite values and those too large for the decimal, else NULL. NaN counts as missing."""
+    x = _col(column).try_cast("double")
+    return F.when(exact(column, kind).isNull() & ~F.isnan(x), x)
 
-    Cents fit a long with room to spare. With more places the whole and the
-    fractional part add up apart, in two longs, and meet only in the result: a
-    group holding a third of 10**12 rows still does not overflow.
-    """
+
+def _total(column: Column | str, kind: str, over: WindowSpec | None = None) -> Column:
+    """Decimal total plus what no decimal holds, which stays visible in the result."""
 
     def total(x: Column) -> Column:
         return F.sum(x) if over is None else F.sum(x).over(over)
 
-    x = fixed_point(column, places)
-    if places <= MONEY:
-        return total(x)
-    unit = F.lit(10**places).cast("bigint")
-    whole = total(F.call_function("div", x, unit)).cast("decimal(20,0)")
-    return whole * unit.cast("decimal(10,0)") + total(x % unit).cast("decimal(20,0)")
+    held, rest = total(exact(column, kind)).cast("double"), total(beyond(column, kind))
+    return F.when(rest.isNull(), held).otherwise(F.coalesce(held, F.lit(0.0)) + rest)
 
 
-def exact_sum(column: Column | str, places: int = MONEY) -> Column:
-    """Sum in fixed point, so the result does not depend on how rows are partitioned.
+def exact_sum(column: Column | str, kind: str = MONEY) -> Column:
+    """Sum of exact decimals, so the result keeps every digit and does not depend on partitioning.
 
-    Plain long accumulators: they combine map-side, stay in codegen, and raise on
-    overflow. The sum of no rows is 0.
+    The sum of no rows is 0. An infinite amount makes its group's sum infinite and never ends
+    the job.
     """
-    total = F.coalesce(_units(column, places), F.lit(0))
-    return total.cast("double") / F.lit(float(10**places))
+    return F.coalesce(_total(column, kind), F.lit(0.0))
 
 
 def exact_avg(
-    column: Column | str, places: int = MONEY, over: WindowSpec | None = None
+    column: Column | str, kind: str = MONEY, over: WindowSpec | None = None
 ) -> Column:
-    """Mean in fixed point, of a group or ``over`` a window; the mean of no rows is NULL."""
-    rows = F.count(fixed_point(column, places))
+    """Mean of exact decimals, of a group or ``over`` a window; the mean of no rows is NULL."""
+    rows = F.count(F.coalesce(exact(column, kind).cast("double"), beyond(column, kind)))
     if over is not None:
         rows = rows.over(over)
-    units = _units(column, places, over).cast("double")
-    return F.try_divide(units, rows.cast("double") * F.lit(float(10**places)))
+    return F.try_divide(_total(column, kind, over), rows.cast("double"))
 
 
 def half_even(column: Column, places: int) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import as_date, date_parts, days_in_month, exact_avg, iso_week, shared_keys
-from tallyspark.functions.expressions import TRACKED
+from tallyspark.operators.periods import Period, within_dates
+from tallyspark.schemas import MEASURE
 
 KEYS = ("user",)
 
@@ -30,7 +31,9 @@ def format_attributes(
     for old, new in RECODED.items():
         name = F.when(name == old, F.lit(new)).otherwise(name)
     on = [*shared_keys(targets, keys), "attribute"]
-    number = F.nanvl(F.coalesce(F.col("raw"), F.lit("0")).try_cast("double"), F.lit(0.0))
+    number = F.when(F.col("raw").isNull(), F.lit(0.0)).otherwise(
+        F.nanvl(F.col("raw").try_cast("double"), F.lit(0.0))
+    )
     value = (
         F.when(F.col("attribute") == "sleep_start", (F.col("value") / 60 + 12) % 24)
         .when(F.col("attribute") == "sleep_end", F.col("value") / 60)
@@ -44,9 +47,9 @@ def format_attributes(
             *keys,
             as_date(attributes, "date").alias("date"),
             name.alias("attribute"),
-            F.col("value").cast("string").alias("raw"),
+            F.col("value").alias("raw"),
         )
-        .where(~F.coalesce(F.col("date") == F.lit(as_of), F.lit(False)))
+        .where(F.col("date").isNull() | (F.col("date") != F.lit(as_of)))
         .join(targets.select(*on, F.col("target").cast("double").alias("target")), on)
         .withColumn("value", number)
         .withColumn("value", value)
@@ -70,7 +73,7 @@ def weekly_rating(formatted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         .withColumn("week_number", iso_week("date"))
         .dropna(subset=group)
         .groupBy(*group)
-        .agg(exact_avg("value", TRACKED).alias("value"), exact_avg("target", TRACKED).alias("target"))
+        .agg(exact_avg("value", MEASURE).alias("value"), exact_avg("target", MEASURE).alias("target"))
         .withColumn("name", F.lit("Rating"))
         .withColumn("positive", F.lit(True))
     )
@@ -86,7 +89,7 @@ def habit_achievement(
     else:
         days = days_in_month(F.lit(first))
     return (
-        formatted.where((F.col("year") == year) & (F.col("month") == month))
+        within_dates(formatted, "date", Period("month", year, month))
         .dropna(subset=list(keys))
         .groupBy(*keys, "attribute")
         .agg(F.sum(F.col("achieved").cast("bigint")).alias("achieved"))

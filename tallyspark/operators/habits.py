@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import date_parts, exact_avg, exact_sum, iso_week, millis_to_date
-from tallyspark.functions.expressions import TRACKED
+from tallyspark.schemas import MEASURE
 
 KEYS = ("user",)
 
@@ -69,5 +69,5 @@ def habit_week(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         .select("*", *date_parts("timestamp", "year", "month"))
         .dropna(subset=group)
         .groupBy(*group)
-        .agg(exact_sum("count", TRACKED).alias("value"), exact_avg("target", TRACKED).alias("target"))
+        .agg(exact_sum("count", MEASURE).alias("value"), exact_avg("target", MEASURE).alias("target"))
     )

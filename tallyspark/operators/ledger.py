@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import as_date, date_parts, exact_sum, shared_keys
+from tallyspark.functions.expressions import beyond, exact
 
 KEYS = ("user",)
 
@@ -57,19 +58,25 @@ def daily_finances(
 ) -> DataFrame:
     """Total per day and category. Transactions with an unmapped name drop out.
 
-    No broadcast hint: the mapping is per user on a real cluster and grows with
-    the users. Catalyst broadcasts it below the threshold; beyond that AQE
-    splits the hot (user, name) partitions of the sort-merge join.
+    Transactions are added up per day and name before the join, which combines map-side: raw
+    rows of a heavy user never meet in a join. No broadcast hint: the mapping is per user on a
+    real cluster and grows with the users; Catalyst broadcasts it below the threshold.
     """
     mapping = name_to_category(categories, keys)
     dated = transactions.select(
         *keys, as_date(transactions, "date").alias("timestamp"), "name", "amount"
     )
+    reduced = (
+        dated.dropna(subset=[*keys, "timestamp", "name"])
+        .groupBy(*keys, "timestamp", "name")
+        .agg(F.sum(exact("amount")).alias("held"), F.sum(beyond("amount")).alias("rest"))
+    )
+    held, rest = F.sum("held").cast("double"), F.sum("rest")
     daily = (
-        dated.join(mapping, [*shared_keys(categories, keys), "name"])
-        .dropna(subset=[*keys, "timestamp", "category"])
+        reduced.join(mapping, [*shared_keys(categories, keys), "name"])
+        .dropna(subset=["category"])
         .groupBy(*keys, "timestamp", "category")
-        .agg(exact_sum("amount").alias("total"))
+        .agg((F.coalesce(held, F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))).alias("total"))
     )
     return daily.select(
         *keys, *date_parts("timestamp", "year", "month", "day"), "category", "total", "timestamp"
@@ -79,12 +86,12 @@ def daily_finances(
 def current_budgets(budgets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Distinct rows of each user's newest budget date.
 
-    The newest date is aggregated and semi-joined back before the dedupe: a
-    window would sort all of a heavy user's history in one task.
+    Deduplicated first, on the whole row, which spreads a heavy user over all tasks; the
+    newest date is then joined in an exchange of its own, which adaptive splitting can act on.
     """
     dated = budgets.withColumn("budgetDate", as_date(budgets, "budgetDate"))
     newest = dated.groupBy(*keys).agg(F.max("budgetDate").alias("budgetDate"))
-    return dated.join(newest, [*keys, "budgetDate"], "left_semi").dropDuplicates()
+    return dated.dropDuplicates().join(newest, [*keys, "budgetDate"], "left_semi")
 
 
 def monthly_budget(

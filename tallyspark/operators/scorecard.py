@@ -18,7 +18,8 @@ from tallyspark.functions import (
     half_even,
     not_in,
 )
-from tallyspark.functions.expressions import TRACKED, small_mask
+from tallyspark.functions.expressions import small_mask
+from tallyspark.schemas import MEASURE
 from tallyspark.operators.periods import Period, period_filter
 from tallyspark.operators.sleep import SLEEP_NAMES, mean_of_day
 
@@ -65,9 +66,9 @@ def scorecard_base(rows: DataFrame, period: Period, keys: Sequence[str] = KEYS)
         .dropna(subset=[*keys, "name", "positive"])
         .groupBy(*keys, "name", "positive", "target_seconds")
         .agg(
-            exact_sum("value", TRACKED).alias("sum_value"),
-            exact_avg("value", TRACKED).alias("mean_value"),
-            exact_avg("target", TRACKED).alias("mean_target"),
+            exact_sum("value", MEASURE).alias("sum_value"),
+            exact_avg("value", MEASURE).alias("mean_value"),
+            exact_avg("target", MEASURE).alias("mean_target"),
             mean_of_day(F.col("name"), F.col("tod_seconds")).alias("mean_tod"),
             F.bit_or(small_mask("week_number")).alias("weeks"),
         )

@@ -40,13 +40,19 @@ def _date_column(finance: DataFrame) -> str | None:
     return "timestamp" if "timestamp" in finance.columns else None
 
 
-def _from_year(finance: DataFrame, start_year: int) -> DataFrame:
-    keep = F.col("year") >= start_year
+def _from_month(finance: DataFrame, first: dt.date) -> DataFrame:
+    """Rows from a month on; a date column is bounded as well, which a file scan can use."""
+    later = F.col("year") > first.year
+    keep = later | ((F.col("year") == first.year) & (F.col("month") >= first.month))
     if _date_column(finance):
-        keep &= F.col("timestamp") >= F.lit(dt.date(start_year, 1, 1))
+        keep &= F.col("timestamp") >= F.lit(first)
     return finance.where(keep)
 
 
+def _from_year(finance: DataFrame, start_year: int) -> DataFrame:
+    return _from_month(finance, dt.date(start_year, 1, 1))
+
+
 def _is_month(day: dt.date) -> Column:
     return (F.col("year") == day.year) & (F.col("month") == day.month)
 
@@ -129,12 +135,23 @@ def monthly_income(
     month: int,
     income: Sequence[str] = ("income",),
     keys: Sequence[str] = KEYS,
+    users: DataFrame | None = None,
 ) -> DataFrame:
-    """Income of one month; 0 for a user without any."""
+    """Income of one month; 0 for a user without any.
+
+    ``users`` (the keys of everybody) lets the scan read that month alone. Without it, users
+    come from the whole ledger.
+    """
     earned = F.when(
         _is_month(dt.date(year, month, 1)) & F.col("category").isin(*income), F.col("total")
     )
-    return finance.dropna(subset=list(keys)).groupBy(*keys).agg(exact_sum(earned).alias("income"))
+    if users is not None and keys:
+        finance = period_filter(finance, Period("month", year, month), _date_column(finance))
+    found = finance.dropna(subset=list(keys)).groupBy(*keys).agg(exact_sum(earned).alias("income"))
+    if users is None or not keys:
+        return found
+    everybody = users.select(*keys).dropna().distinct()
+    return everybody.join(found, list(keys), "left").fillna(0.0, ["income"])
 
 
 def _month_flows(
@@ -178,8 +195,12 @@ def budget_shortfall(
     not_spending: Sequence[str] = NOT_SPENDING,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Mean monthly spending since ``start_year`` plus one month's income, less the target."""
-    flows = _month_flows(finance, income, not_spending, IRREGULAR, keys)
+    """Mean monthly spending since ``start_year`` plus one month's income, less the target.
+
+    For the users with an entry since the earlier of the two; what lies before is not read.
+    """
+    first = min(dt.date(start_year, 1, 1), dt.date(year, month, 1))
+    flows = _month_flows(_from_month(finance, first), income, not_spending, IRREGULAR, keys)
     spend = exact_avg(F.when(F.col("year") >= start_year, F.col("spend")))
     earned = exact_sum(F.when(_is_month(dt.date(year, month, 1)), F.col("income")))
     return flows.groupBy(*keys).agg((spend + earned - F.lit(profit_target)).alias("shortfall"))
@@ -196,24 +217,27 @@ def savings_series(
 ) -> DataFrame:
     """Monthly net since ``start_year`` with the shortfall as of the last full month.
 
-    The windows run over one row per user and month, never over daily rows.
+    The windows run over one row per user and month, never over daily rows. The December
+    before is read too: a last month of January looks back to its income.
     """
-    flows = _month_flows(_from_year(finance, start_year), income, not_spending, irregular, keys)
+    rows = _from_month(finance, dt.date(start_year - 1, 12, 1))
+    flows = _month_flows(rows, income, not_spending, irregular, keys)
     user = Window.partitionBy(*keys)
-    shown = F.when(F.col("net").isNotNull(), F.col("datetime"))
+    since = F.col("year") >= start_year
+    shown = F.when(since & F.col("net").isNotNull(), F.col("datetime"))
     spans = flows.withColumns(
         {
-            "spend_mean": exact_avg("spend", over=user),
+            "spend_mean": exact_avg(F.when(since, F.col("spend")), over=user),
             "first_date": F.min(shown).over(user),
             "last_date": F.max(shown).over(user),
             "median_day": F.median(F.unix_date(shown)).over(user),
-            "label_height": F.max("net").over(user) * 1.1,
+            "label_height": F.max(F.when(since, F.col("net"))).over(user) * 1.1,
         }
     )
     shortfall = F.col("spend_mean") + _income_before("last_date", user) - F.lit(profit_target)
     return (
         spans.withColumn("shortfall", shortfall)
-        .where(F.col("net").isNotNull())
+        .where(since & F.col("net").isNotNull())
         .select(
             *keys,
             "year",
@@ -240,15 +264,20 @@ def spending_series(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Monthly spending since ``start_year`` against what income leaves after the target."""
-    flows = _month_flows(_from_year(finance, start_year), income, not_spending, (), keys)
+    rows = _from_month(finance, dt.date(start_year - 1, 12, 1))
+    flows = _month_flows(rows, income, not_spending, (), keys)
     user = Window.partitionBy(*keys)
-    shown = F.when(F.col("spend").isNotNull(), F.col("datetime"))
+    since = F.col("year") >= start_year
+    shown = F.when(since & F.col("spend").isNotNull(), F.col("datetime"))
     spans = flows.withColumns(
-        {"spend_mean": exact_avg("spend", over=user), "last_date": F.max(shown).over(user)}
+        {
+            "spend_mean": exact_avg(F.when(since, F.col("spend")), over=user),
+            "last_date": F.max(shown).over(user),
+        }
     )
     return (
         spans.withColumn("target", -(_income_before("last_date", user) - F.lit(profit_target)))
-        .where(F.col("spend").isNotNull())
+        .where(since & F.col("spend").isNotNull())
         .select(
             *keys,
             "year",

@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import as_date, date_parts, millis_to_date, not_in, shared_keys
+from tallyspark.operators.periods import Period, period_filter
 from tallyspark.sources.workspace import settle
 
 KEYS = ("user",)
 ROOT = "root"
 HOUR_MS = 3_600_000
 
-# Above this many categories the tree is resolved by doubling. It equals Spark's
-# default row limit for a recursive query.
-RECURSIVE_ROWS = 1_000_000
-
 
 def task_duration(tasks: DataFrame) -> DataFrame:
     """Add ``start_time``, ``end_time`` and ``duration`` in hours; all NULL without ``times``.
 
+    ``duration_ms`` keeps the landed whole milliseconds, which add up exactly.
+
     A single entry in ``times`` leaves the end unknown.
     """
     tracked = F.col("times").isNotNull()
@@ -29,6 +28,7 @@ def task_duration(tasks: DataFrame) -> DataFrame:
         {
             "start_time": millis_to_date(F.get("times", F.lit(0))),
             "end_time": millis_to_date(F.get("times", F.lit(1))),
+            "duration_ms": F.when(tracked, F.col("duration")),
             "duration": F.when(tracked, F.col("duration") / HOUR_MS),
         }
     )
@@ -44,38 +44,29 @@ def _nodes(categories: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _paths_by_recursion(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Walk down from the root, one join per level. Broken and cyclic chains are never reached."""
-    own = "".join(f"n.{k}, " for k in keys)
-    same = "".join(f" AND n.{k} = c.{k}" for k in keys)
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE chain MAX RECURSION LEVEL {RECURSIVE_ROWS} AS (
-            SELECT {own} n.node, n.title AS path, n.title AS category
-            FROM {{nodes}} n WHERE n.parentId = '{ROOT}'
-            UNION ALL
-            SELECT {own} n.node, concat(n.title, '/', c.path), c.category
-            FROM chain c JOIN {{nodes}} n ON n.parentId = c.node{same}
-        )
-        SELECT * FROM chain
-        """,
-        nodes=nodes,
-    )
-
+def category_paths(categories: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Path from each category up to the root, nearest title first, and the topmost title.
 
-def _paths_by_doubling(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join every open chain to the chain its far end starts, so covered depth doubles per round.
+    Works on the category table alone, never on tasks, and runs jobs while the plan is built:
+    every open chain is joined to the chain its far end starts, so the depth covered doubles
+    per round. A chain ends at ``root``, whether or not a document has that id. Chains whose
+    parent is missing fall out of the inner join; a round that closes no chain leaves only
+    cycles.
 
-    Each round is written to the shared work folder, which cuts the lineage and
-    survives lost executors. Chains whose parent is missing fall out of the inner
-    join. A round that closes no chain leaves only cycles.
+    Each round is written to the shared work folder, which cuts the lineage, survives lost
+    executors and tells the join with the tasks the size of the paths; the round before it is
+    removed then.
     """
-    chains = nodes.select(
-        *keys,
-        "node",
-        F.col("parentId").alias("end"),
-        F.col("title").alias("path"),
-        F.col("title").alias("category"),
+    shared = shared_keys(categories, keys)
+    chains = settle(
+        _nodes(categories, shared).select(
+            *shared,
+            "node",
+            F.col("parentId").alias("end"),
+            F.col("title").alias("path"),
+            F.col("title").alias("category"),
+        ),
+        "category-chains",
     )
     is_closed = F.col("end") == ROOT
     closed_before = -1
@@ -85,7 +76,7 @@ def _paths_by_doubling(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
             break
         closed_before = closed_now
         step = chains.select(
-            *keys,
+            *shared,
             F.col("node").alias("end"),
             F.col("end").alias("next_end"),
             F.col("path").alias("next_path"),
@@ -93,34 +84,18 @@ def _paths_by_doubling(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         longer = (
             chains.where(~is_closed)
-            .join(step, [*keys, "end"])
+            .join(step, [*shared, "end"])
             .select(
-                *keys,
+                *shared,
                 "node",
                 F.col("next_end").alias("end"),
                 F.concat("path", F.lit("/"), "next_path").alias("path"),
                 F.col("next_category").alias("category"),
             )
         )
-        chains = settle(chains.where(is_closed).unionByName(longer), "category-chains")
-    return chains.where(is_closed).select(*keys, "node", "path", "category")
-
-
-def category_paths(
-    categories: DataFrame, keys: Sequence[str] = KEYS, recursive_rows: int = RECURSIVE_ROWS
-) -> DataFrame:
-    """Path from each category up to the root, nearest title first, and the topmost title.
-
-    Works on the category table alone, never on tasks. Its size is counted first:
-    a recursive query for ordinary trees, doubling joins for larger ones. The
-    paths are written once, so the join with the tasks knows their size: small
-    paths are broadcast instead of shuffling every task.
-    """
-    shared = shared_keys(categories, keys)
-    nodes = settle(_nodes(categories, shared), "category-nodes")
-    if nodes.count() <= recursive_rows:
-        return settle(_paths_by_recursion(nodes, shared), "category-paths")
-    return _paths_by_doubling(nodes, shared)
+        both = chains.where(is_closed).unionByName(longer)
+        chains = settle(both, "category-chains", replaces=chains)
+    return chains.where(is_closed).select(*shared, "node", "path", "category")
 
 
 def unresolved_categories(
@@ -140,12 +115,13 @@ def tasks(task_docs: DataFrame, paths: DataFrame, keys: Sequence[str] = KEYS) ->
     return task_duration(placed).select(
         *keys,
         F.col("title").alias("name"),
-        "day",
+        as_date(placed, "day").alias("day"),
         (F.col("timeEstimate") / HOUR_MS).alias("time_estimate"),
         F.col("path").alias("parent"),
         "category",
         "start_time",
         "end_time",
+        "duration_ms",
         "duration",
     )
 
@@ -157,7 +133,8 @@ def format_tasks(
     on = [*shared_keys(rollup, keys), "category"]
     in_set = rollup.select(*on).distinct().withColumn("in_set", F.lit(True))
     shown = F.when(F.col("in_set"), F.col("category")).otherwise(F.split("parent", "/")[0])
-    assigned = task_table.where(not_in("day", ["unassigned"]))
+    is_text = dict(task_table.dtypes)["day"] == "string"
+    assigned = task_table.where(not_in("day", ["unassigned"])) if is_text else task_table
     return (
         assigned.withColumn("day", as_date(assigned, "day"))
         .join(in_set, on, "left")
@@ -169,6 +146,7 @@ def format_tasks(
             "time_estimate",
             "start_time",
             "end_time",
+            "duration_ms",
             "duration",
             shown.alias("category"),
         )
@@ -183,13 +161,16 @@ def task_time_by_category(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Hours per category in one month, above a threshold; nothing for users whose hours sum to 0."""
+    if "duration_ms" not in formatted.columns:
+        formatted = formatted.withColumn("duration_ms", F.rint(F.col("duration") * HOUR_MS).cast("bigint"))
+    shown = period_filter(formatted, Period("month", year, month), "day" if "day" in formatted.columns else None)
     hours = (
-        formatted.where((F.col("year") == year) & (F.col("month") == month))
-        .dropna(subset=[*keys, "category"])
+        shown.dropna(subset=[*keys, "category"])
         .groupBy(*keys, "category", "year", "month")
-        .agg(F.coalesce(F.sum("duration"), F.lit(0.0)).alias("duration"))
+        .agg(F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("ms"))
     )
     # Joined on the month as well, which is constant, so that keys=() still has a key.
     on = [*keys, "year", "month"]
-    active = hours.groupBy(*on).agg(F.sum("duration").alias("all_hours")).where("all_hours <> 0")
-    return hours.where(F.col("duration") > min_hours).join(active, on, "left_semi")
+    active = hours.groupBy(*on).agg(F.sum("ms").alias("all_ms")).where("all_ms <> 0")
+    lasting = hours.withColumn("duration", F.col("ms") / HOUR_MS).where(F.col("duration") > min_hours)
+    return lasting.drop("ms").join(active, on, "left_semi")

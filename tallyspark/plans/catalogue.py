@@ -20,7 +20,6 @@ from tallyspark.operators import (
     spending,
     tasks,
 )
-from tallyspark.operators.joins import tag_users
 from tallyspark.operators.periods import Period, period_filter
 from tallyspark.plans.standins import AS_OF, StandIns
 from tallyspark.plans.views import scored_from_raw
@@ -65,12 +64,14 @@ def queries() -> dict[str, Query]:
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Plain output types: whole numbers as BIGINT, dates and timestamps as ISO text."""
+    """Plain output types: whole numbers as BIGINT, decimals as DOUBLE, dates and timestamps as text."""
 
     def plain(field: T.StructField) -> Column:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
             column = column.cast("bigint")
+        elif isinstance(kind, T.DecimalType):
+            column = column.cast("double")
         elif isinstance(kind, T.DateType):
             column = column.cast("string")
         elif isinstance(kind, T.TimestampType):
@@ -230,6 +231,17 @@ def latest_snapshot(s):
     return snapshots.latest_snapshot(s.spark, root, "account_totals")
 
 
+@query
+def latest_snapshot_of_user(s):
+    """A user whose accounts are missing on the newest day is served from the day before."""
+    root = work_path(s.spark, "snapshots")
+    totals = ledger.account_totals(s.accounts)
+    snapshots.write_snapshot(totals, root, "account_totals", dt.date(2024, 1, 1), ["user"])
+    others = totals.where(F.col("user") != "7")
+    snapshots.write_snapshot(others, root, "account_totals", dt.date(2024, 1, 2), ["user"])
+    return snapshots.latest_snapshot(s.spark, root, "account_totals", user="7")
+
+
 @query
 def retention_plan(s):
     """Budgets refreshed for all, accounts only for users with a large active balance."""
@@ -251,14 +263,9 @@ def retention_plan(s):
 
 @query
 def all_users(s):
-    """Each order status plays one user's own ledger; together they are the whole table."""
-    frames = {
-        status: ledger.daily_finances(
-            s.transactions.where(F.col("description") == status), s.categories, keys=()
-        )
-        for status in ("F", "O", "P")
-    }
-    return tag_users(frames)
+    """Each order status plays a user: one read of a table with all of them, grouped by user."""
+    owned = s.transactions.withColumn("user", F.col("description"))
+    return ledger.daily_finances(owned, s.categories)
 
 
 # --- ledger -----------------------------------------------------------------
@@ -330,6 +337,12 @@ def period_week(s):
     return period_filter(habits.habit_week(habits.habit_history(s.habit_docs)), WEEK_2)
 
 
+@query
+def period_iso_week(s):
+    """The first ISO week of a year, which starts in the December before."""
+    return period_filter(_daily(s), Period("iso_week", 1997, week=1), "timestamp")
+
+
 @query
 def period_month(s):
     return period_filter(_daily(s), MONTH, "timestamp")
@@ -401,7 +414,7 @@ def spend_budget_long(s):
 
 @query
 def monthly_income(s):
-    return spending.monthly_income(_daily(s), 1997, 5, INCOME)
+    return spending.monthly_income(_daily(s), 1997, 5, INCOME, users=s.accounts.select("user"))
 
 
 @query
@@ -630,24 +643,18 @@ def category_path(s):
     return tasks.category_paths(s.task_categories)
 
 
-@query
-def category_path_doubling(s):
-    """The way taken by large category tables, forced on this one."""
-    return tasks.category_paths(s.task_categories, recursive_rows=0)
-
-
 def _tasks(s: StandIns) -> DataFrame:
     return tasks.tasks(s.task_docs, tasks.category_paths(s.task_categories))
 
 
 @query
 def task_table(s):
-    return _tasks(s)
+    return _tasks(s).drop("duration_ms")
 
 
 @query
 def format_tasks(s):
-    return tasks.format_tasks(_tasks(s), s.task_rollup)
+    return tasks.format_tasks(_tasks(s), s.task_rollup).drop("duration_ms")
 
 
 @query

@@ -7,24 +7,29 @@ aggregates. Shared building blocks are CTEs.
 
 from __future__ import annotations
 
+from tallyspark.schemas import MEASURE, MONEY
 
-def _cents(x: str) -> str:
-    return f"CAST(round(({x}) * 100) AS BIGINT)"
 
+def _exact(x: str, kind: str) -> str:
+    """A value as the declared decimal; by its text, so that both engines see the same digits."""
+    return f"CAST(CAST({x} AS VARCHAR) AS {kind})"
 
-def _sum(x: str, where: str = "", scale: int = 100) -> str:
+
+def _double(x: str) -> str:
+    return f"CAST(CAST({x} AS VARCHAR) AS DOUBLE)"
+
+
+def _sum(x: str, where: str = "", kind: str = MONEY) -> str:
     """Exact sum; 0 without rows."""
     rows = f" FILTER (WHERE {where})" if where else ""
-    return f"CAST(coalesce(sum(CAST(round(({x}) * {scale}) AS BIGINT)){rows}, 0) AS DOUBLE) / {scale}"
+    return f"coalesce({_double(f'sum({_exact(x, kind)}){rows}')}, 0)"
 
 
-def _avg(x: str, where: str = "", scale: int = 100) -> str:
+def _avg(x: str, where: str = "", kind: str = MONEY) -> str:
     """Exact mean; NULL without rows."""
     rows = f" FILTER (WHERE {where})" if where else ""
-    return (
-        f"CAST(sum(CAST(round(({x}) * {scale}) AS BIGINT)){rows} AS DOUBLE)"
-        f" / CAST(nullif(count({x}){rows} * {scale}, 0) AS DOUBLE)"
-    )
+    total = _double(f"sum({_exact(x, kind)}){rows}")
+    return f"{total} / CAST(nullif(count({x}){rows}, 0) AS DOUBLE)"
 
 
 def _clock(seconds: str) -> str:
@@ -122,7 +127,7 @@ CTES = {
     "habit_week": f"""
         SELECT "user", name, positive, CAST(weekofyear(day) AS BIGINT) AS week_number,
                CAST(year(day) AS BIGINT) AS year, CAST(month(day) AS BIGINT) AS month,
-               {_sum("count", scale=1000000)} AS value, {_avg("target", scale=1000000)} AS target
+               {_sum("count", kind=MEASURE)} AS value, {_avg("target", kind=MEASURE)} AS target
         FROM history WHERE period = 'week'
         GROUP BY "user", name, positive, weekofyear(day), year(day), month(day)""",
     "attributes": """
@@ -146,7 +151,7 @@ CTES = {
               WHERE date <> DATE '2024-01-15')""",
     "rating": f"""
         SELECT "user", year, month, CAST(weekofyear(date) AS BIGINT) AS week_number,
-               {_avg("value", scale=1000000)} AS value, {_avg("target", scale=1000000)} AS target,
+               {_avg("value", kind=MEASURE)} AS value, {_avg("target", kind=MEASURE)} AS target,
                'Rating' AS name, true AS positive
         FROM formatted WHERE attribute = 'mood'
         GROUP BY "user", year, month, weekofyear(date)""",
@@ -318,16 +323,16 @@ def _scorecard(where: str) -> str:
         weeks AS (SELECT "user", count(DISTINCT week_number) AS n FROM picked GROUP BY "user"),
         card AS (
             SELECT "user", name, positive, 'habit' AS kind,
-                   {_sum("value", scale=1000000)} AS value,
-                   ({_avg("target", scale=1000000)}) * any_value(n) AS target,
+                   {_sum("value", kind=MEASURE)} AS value,
+                   ({_avg("target", kind=MEASURE)}) * any_value(n) AS target,
                    CAST(NULL AS BIGINT) AS tod_seconds, CAST(NULL AS BIGINT) AS target_seconds
             FROM picked JOIN weeks USING ("user")
             WHERE name NOT IN ('Wake', 'Bed', 'Duration', 'Rating')
             GROUP BY "user", name, positive
             UNION ALL
             SELECT "user", name, positive, 'rating',
-                   round_even(({_avg("value", scale=1000000)}) * 100, 0) / 100,
-                   {_avg("target", scale=1000000)}, NULL, NULL
+                   round_even(({_avg("value", kind=MEASURE)}) * 100, 0) / 100,
+                   {_avg("target", kind=MEASURE)}, NULL, NULL
             FROM picked WHERE name = 'Rating' GROUP BY "user", name, positive
             UNION ALL
             SELECT "user", name, positive, 'sleep', NULL, NULL, {_circular("tod_seconds")},
@@ -359,7 +364,8 @@ FLOWS = f"""
                    CASE WHEN count(*) FILTER (WHERE category NOT IN ('paycheck', 'bonus')) > 0
                         THEN {_sum("total", "category NOT IN ('paycheck', 'bonus')")} END AS spend,
                    {_sum("total", "category = 'paycheck'")} AS income
-            FROM daily WHERE year >= 1997 GROUP BY "user", year, month)"""
+            FROM daily WHERE year >= 1997 OR (year = 1996 AND month = 12)
+            GROUP BY "user", year, month)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -390,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
         FROM events, (VALUES (1), (2)) AS copies(k) WHERE k = 1 OR value >= 10"""
     sql["latest_attribute_values"] = f"""
         SELECT CAST(user_id AS VARCHAR) AS "user", {label} AS attribute,
-               arg_max(value, event_id) AS value
+               first(value ORDER BY CAST(ts AS DATE) DESC, event_id DESC) AS value
         FROM events GROUP BY 1, 2"""
     sql["read_sleep_xml"] = """
         SELECT 'owner' AS "user", strftime(s, '%Y-%m-%d %H:%M:%S') AS sleep_start,
@@ -421,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
            (VALUES ('2024-01-01'), ('2024-01-02')) AS d(snapshot_date)""",
     )
     sql["latest_snapshot"] = _with("totals", "SELECT * FROM totals")
+    sql["latest_snapshot_of_user"] = _with("totals", """SELECT * FROM totals WHERE "user" = '7' """)
     sql["retention_plan"] = _with(
         "budget totals",
         f""", listed AS (SELECT DISTINCT 'monthly_budget' AS dataset, "user" FROM budget
@@ -466,6 +473,7 @@ def oracle_sql() -> dict[str, str]:
     # periods and predicates
     sql["period_week"] = _with("habit_week", f"SELECT * FROM habit_week WHERE {IN_WEEK_2}")
     for name, where in (
+        ("period_iso_week", "\"timestamp\" BETWEEN DATE '1996-12-30' AND DATE '1997-01-05'"),
         ("period_month", IN_MONTH),
         ("period_quarter", IN_QUARTER),
         ("period_year", IN_YEAR),
@@ -506,9 +514,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT "user", category, 'budget', budget FROM spent""",
     )
     sql["monthly_income"] = _with(
-        "daily",
+        "daily accounts",
         f"""SELECT "user", {_sum("total", f"{IN_MONTH} AND category = 'paycheck'")} AS income
-            FROM daily GROUP BY "user" """,
+            FROM (SELECT DISTINCT "user" FROM accounts) LEFT JOIN daily USING ("user")
+            GROUP BY "user" """,
     )
     sql["budget_shortfall"] = _with(
         "daily",
@@ -519,7 +528,7 @@ def oracle_sql() -> dict[str, str]:
             earned AS (SELECT "user", {_sum("total")} AS income FROM daily
                 WHERE year = 1999 AND month = 5 AND category = 'paycheck' GROUP BY "user")
             SELECT "user", m + coalesce(income, 0) - 100 AS shortfall
-            FROM (SELECT DISTINCT "user" FROM daily) LEFT JOIN mean USING ("user")
+            FROM (SELECT DISTINCT "user" FROM daily WHERE year >= 1997) LEFT JOIN mean USING ("user")
             LEFT JOIN earned USING ("user")""",
     )
     sql["avg_monthly_by_category"] = _with(
@@ -592,11 +601,12 @@ def oracle_sql() -> dict[str, str]:
     sql["savings_series"] = _with(
         "daily",
         FLOWS
-        + f""", shown AS (SELECT * FROM flows WHERE net IS NOT NULL),
+        + f""", shown AS (SELECT * FROM flows WHERE net IS NOT NULL AND year >= 1997),
             span AS (SELECT "user", min(datetime) AS first_date, max(datetime) AS last_date,
                        quantile_cont(datediff('day', DATE '1970-01-01', datetime), 0.5) AS mid,
                        max(net) * 1.1 AS label_height FROM shown GROUP BY "user"),
-            mean AS (SELECT "user", {_avg("spend")} AS m FROM flows GROUP BY "user"),
+            mean AS (SELECT "user", {_avg("spend")} AS m FROM flows WHERE year >= 1997
+                     GROUP BY "user"),
             result AS (
               SELECT s."user", s.year, s.month, s.datetime, s.net AS total,
                      CAST(100 AS DOUBLE) AS target, m + coalesce(f.income, 0) - 100 AS shortfall,
@@ -613,7 +623,7 @@ def oracle_sql() -> dict[str, str]:
     sql["spending_series"] = _with(
         "daily",
         FLOWS
-        + f""", shown AS (SELECT * FROM flows WHERE spend IS NOT NULL),
+        + f""", shown AS (SELECT * FROM flows WHERE spend IS NOT NULL AND year >= 1997),
             mean AS (SELECT "user", {_avg("spend")} AS m,
                        CAST(max(datetime) - INTERVAL 1 MONTH AS DATE) AS before
                      FROM shown GROUP BY "user"),
@@ -745,7 +755,6 @@ def oracle_sql() -> dict[str, str]:
         f'SELECT "user", title, {_iso("start_time", "end_time")}, duration FROM docs',
     )
     sql["category_path"] = _with("paths", "SELECT * FROM paths")
-    sql["category_path_doubling"] = sql["category_path"]
     sql["task_table"] = _with(
         "tasks",
         f"""SELECT "user", name, day, time_estimate, parent, category,

@@ -11,7 +11,14 @@ from tallyspark.operators.ledger import account_totals, daily_finances, monthly_
 from tallyspark.operators.sleep import sleep_nights
 from tallyspark.plans.views import tasks_from_docs
 from tallyspark.sources import config, landed
-from tallyspark.sources.snapshots import list_snapshots, retention_plan, write_snapshot
+from tallyspark.sources.snapshots import (
+    drop_snapshots,
+    list_snapshots,
+    removable_dates,
+    retention_plan,
+    write_snapshot,
+)
+from tallyspark.sources.workspace import settle
 
 DATASETS = (
     "daily_finances",
@@ -24,6 +31,15 @@ DATASETS = (
     "sleep_data",
 )
 
+# Event-like datasets lie in the order their readers ask for.
+CLUSTER_BY = {
+    "daily_finances": ("user", "timestamp"),
+    "tasks": ("user", "day"),
+    "habits": ("user", "timestamp"),
+    "attributes": ("user", "date"),
+    "sleep_data": ("user", "wakeup"),
+}
+
 
 def build_datasets(
     spark: SparkSession, landing: str, categories: DataFrame
@@ -49,11 +65,22 @@ def build_datasets(
     }
 
 
-def refresh(spark: SparkSession, landing: str, root: str, as_of: dt.date) -> None:
-    """Write the day's snapshot of every dataset."""
+def refresh(
+    spark: SparkSession, landing: str, root: str, as_of: dt.date, drop_old: bool = True
+) -> int:
+    """Write the day's snapshot of every dataset, then drop the days it replaces.
+
+    A day goes only once every user in it was refreshed in every dataset. Returns how many went.
+    """
+    before = settle(list_snapshots(spark, root, DATASETS), "listing")
     categories = config.category_dim_of(config.read_config(spark, f"{landing}/config"))
     for dataset, df in build_datasets(spark, landing, categories).items():
-        write_snapshot(df, root, dataset, as_of)
+        write_snapshot(df, root, dataset, as_of, CLUSTER_BY.get(dataset, ()))
+    if not drop_old:
+        return 0
+    listing = list_snapshots(spark, root, DATASETS)
+    old = removable_dates(listing, retention_plan(before, listing))
+    return drop_snapshots(spark, root, settle(old, "removable"))
 
 
 def stale_after_refresh(

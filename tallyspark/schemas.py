@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+# Exact types of what is added up. Money and measured values keep every digit their sources
+# give up to this scale, whatever way rows are partitioned; a wider scale is set here.
+MONEY = "DECIMAL(24,6)"
+MEASURE = "DECIMAL(28,10)"
+
 ACCOUNTS = (
     "user STRING, name STRING, type STRING, systemStatus STRING, "
-    "currentBalance DOUBLE, availableBalance DOUBLE"
+    f"currentBalance {MONEY}, availableBalance {MONEY}"
 )
 
 TRANSACTIONS = (
-    "user STRING, date STRING, description STRING, amount DOUBLE, type STRING, "
+    f"user STRING, date STRING, description STRING, amount {MONEY}, type STRING, "
     "category STRUCT<name: STRING, parentName: STRING>, accountId STRING"
 )
 
@@ -19,7 +24,7 @@ INVESTMENTS = (
 
 BUDGETS = (
     "user STRING, budgetDate STRING, category STRUCT<name: STRING>, "
-    "amount DOUBLE, budgetAmount DOUBLE"
+    f"amount {MONEY}, budgetAmount {MONEY}"
 )
 
 # One dataset for the task tracker; ``db`` tells the three document kinds apart.

@@ -84,21 +84,43 @@ def read_attribute_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_attributes(pages: DataFrame) -> DataFrame:
-    """One row per attribute value of every page; attributes without values vanish."""
-    return pages.select("user", F.inline("results")).select(
-        "user", F.inline("values"), F.col("label").alias("attribute")
+    """One row per attribute value of every page; attributes without values vanish.
+
+    Dates and values leave typed, so that a period reaches the scan of a snapshot of them;
+    what cannot be read is NULL.
+    """
+    return (
+        pages.select("user", F.inline("results"))
+        .select("user", F.inline("values"), F.col("label").alias("attribute"))
+        .withColumns({"date": F.col("date").try_cast("date"), "value": F.col("value").try_cast("double")})
     )
 
 
 def latest_attribute_values(pages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """First value of each attribute; a later page replaces an earlier one."""
+    """First value of each attribute on its newest page.
+
+    Newest is by the value's date, then the page number, which starts anew with each fetch
+    window, then the place on the page; of equals the greater value. The order is packed into
+    one long, so the first pass combines map-side in eight bytes; only winners' texts follow.
+    """
     first = F.get("values", F.lit(0))
-    return (
-        pages.select(*keys, "page_no", F.inline("results"))
+    day = F.coalesce(F.unix_date(first["date"].try_cast("date")), F.lit(-(1 << 19))).cast("bigint")
+    order = (day * (1 << 26) + F.least("page_no", F.lit((1 << 26) - 1))) * (1 << 16)
+    found = (
+        pages.select(*keys, "page_no", F.posexplode("results").alias("place", "result"))
+        .select(*keys, "page_no", "place", F.col("result.label").alias("attribute"), "result.values")
         .where(F.size("values") > 0)
-        .groupBy(*keys, F.col("label").alias("attribute"))
-        .agg(F.max_by(first["value"], F.col("page_no")).alias("value"))
+        .select(
+            *keys,
+            "attribute",
+            first["value"].alias("value"),
+            (F.coalesce(order, F.lit(0)) + F.least("place", F.lit((1 << 16) - 1))).alias("rank"),
+        )
     )
+    group = [*keys, "attribute"]
+    newest = found.groupBy(*group).agg(F.max("rank").alias("rank"))
+    winners = found.join(newest, [*group, "rank"], "left_semi")
+    return winners.groupBy(*group).agg(F.max("value").alias("value"))
 
 
 def sleep_times(start: str, end: str) -> list:

@@ -1,7 +1,11 @@
 """Dated snapshots: Parquet partitioned by ``snapshot_date``, all users in one table.
 
-Users are a column and not a partition: a million users would mean a million
-small files a day.
+Users are a column and not a partition: a million users would mean a million small files a
+day. Next to a dataset lies the list of users of each of its days, so that listings and
+searches for a user read those and no data.
+
+Folders are listed and deleted through Hadoop's file systems, which a Spark Connect session
+does not offer.
 """
 
 from __future__ import annotations
@@ -14,6 +18,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: only snapshots after this day count.
 EARLIEST = dt.date(2019, 1, 1)
+# Folder of the user lists, beside the datasets.
+USERS_OF = "users_of"
+LISTING = "dataset STRING, user STRING, snapshot_date DATE"
 
 
 def write_snapshot(
@@ -32,15 +39,28 @@ def write_snapshot(
     if cluster_by:
         tie = F.xxhash64(*df.columns)
         df = df.repartitionByRange(*cluster_by, tie).sortWithinPartitions(*cluster_by)
+    _write_day(df, f"{root}/{dataset}", date)
+    stored = df.sparkSession.read.schema(df.withColumn("snapshot_date", F.lit(date)).schema)
+    written = stored.parquet(f"{root}/{dataset}").where(F.col("snapshot_date") == F.lit(date))
+    owner = F.col("user") if "user" in df.columns else F.lit(None).cast("string")
+    _write_day(written.select(owner.alias("user")).distinct(), f"{root}/{USERS_OF}/{dataset}", date)
+
+
+def _write_day(df: DataFrame, path: str, date: dt.date) -> None:
     (
         df.withColumn("snapshot_date", F.lit(date))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_date")
-        .parquet(f"{root}/{dataset}")
+        .parquet(path)
     )
 
 
+def _users(spark: SparkSession, root: str, dataset: str, date: dt.date) -> DataFrame:
+    path = f"{root}/{USERS_OF}/{dataset}/snapshot_date={date.isoformat()}"
+    return spark.read.schema("user STRING").parquet(path)
+
+
 def snapshot_dates(spark: SparkSession, root: str, dataset: str) -> list[dt.date]:
     """Dates stored, oldest first, from the folder names alone."""
     context = spark.sparkContext
@@ -55,35 +75,28 @@ def latest_snapshot(
 ) -> DataFrame:
     """The newest snapshot, or the newest that has a given user. Fails if there is none.
 
-    The newest date comes from the folder names, so neither the files of older
-    days are listed nor any footer is opened to find it.
+    The newest date comes from the folder names. For a user, the lists of users are asked from
+    the newest day backwards; data of the day found is all that is read.
     """
-    dates = [d for d in snapshot_dates(spark, root, dataset) if d > EARLIEST]
-    if user is not None and dates:
-        stored = spark.read.parquet(f"{root}/{dataset}")
-        newest = (
-            stored.where((F.col("user") == user) & (F.col("snapshot_date") > F.lit(EARLIEST)))
-            .agg(F.max("snapshot_date"))
-            .first()[0]
-        )
-        dates = [newest] if newest else []
-    if not dates:
-        raise ValueError(f"no dated snapshot of {dataset} for {user or 'any user'}")
-    newest = spark.read.parquet(f"{root}/{dataset}/snapshot_date={dates[-1].isoformat()}")
-    return newest if user is None else newest.where(F.col("user") == user)
+    for date in reversed(snapshot_dates(spark, root, dataset)):
+        if date <= EARLIEST:
+            break
+        if user is None or not _users(spark, root, dataset, date).where(F.col("user") == user).isEmpty():
+            found = spark.read.parquet(f"{root}/{dataset}/snapshot_date={date.isoformat()}")
+            return found if user is None else found.where(F.col("user") == user)
+    raise ValueError(f"no dated snapshot of {dataset} for {user or 'any user'}")
 
 
 def list_snapshots(spark: SparkSession, root: str, datasets: Iterable[str]) -> DataFrame:
-    """(dataset, user, snapshot_date) of everything stored."""
+    """(dataset, user, snapshot_date) of everything stored, from the lists of users."""
     listing = None
     for dataset in datasets:
-        part = (
-            spark.read.parquet(f"{root}/{dataset}")
-            .select(F.lit(dataset).alias("dataset"), "user", "snapshot_date")
-            .distinct()
-        )
-        listing = part if listing is None else listing.unionByName(part)
-    return listing
+        if snapshot_dates(spark, root, dataset):
+            stored = spark.read.schema("user STRING, snapshot_date DATE")
+            part = stored.parquet(f"{root}/{USERS_OF}/{dataset}")
+            part = part.select(F.lit(dataset).alias("dataset"), "user", "snapshot_date")
+            listing = part if listing is None else listing.unionByName(part)
+    return spark.createDataFrame([], LISTING) if listing is None else listing
 
 
 def retention_plan(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -111,8 +124,9 @@ def drop_snapshots(spark: SparkSession, root: str, removable: DataFrame) -> int:
     context = spark.sparkContext
     dropped = 0
     for row in removable.select("dataset", "snapshot_date").distinct().toLocalIterator():
-        path = context._jvm.org.apache.hadoop.fs.Path(
-            f"{root}/{row.dataset}/snapshot_date={row.snapshot_date.isoformat()}"
-        )
-        dropped += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        day = f"{row.dataset}/snapshot_date={row.snapshot_date.isoformat()}"
+        for folder in (f"{root}/{day}", f"{root}/{USERS_OF}/{day}"):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            gone = path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        dropped += gone
     return dropped

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark import functions as X
+from tallyspark.schemas import MEASURE
 
 
 def one(spark, column, **values):
@@ -130,10 +131,22 @@ def test_as_date_reads_text_dates_and_timestamps(spark):
 def test_tracked_sums_do_not_overflow(spark):
     """5 * 10**12 a million times over: beyond a long of millionths."""
     df = spark.range(4).select(F.lit(5e12).alias("x"))
-    total, mean = df.agg(X.exact_sum("x", 6), X.exact_avg("x", 6)).first()
+    total, mean = df.agg(X.exact_sum("x", MEASURE), X.exact_avg("x", MEASURE)).first()
     assert (total, mean) == (2e13, 5e12)
 
 
 def test_tracked_sums_of_mixed_signs(spark):
     df = column(spark, [1.25, -2.5, 0.000001, -0.75], "double")
-    assert df.agg(X.exact_sum("x", 6)).first()[0] == -1.999999
+    assert df.agg(X.exact_sum("x", MEASURE)).first()[0] == -1.999999
+
+
+def test_sums_keep_every_digit(spark):
+    small = spark.range(1000).select(F.lit(0.004).alias("x"))
+    assert small.agg(X.exact_sum("x")).first()[0] == 4.0
+
+
+def test_values_beyond_the_decimal_stay_visible(spark):
+    df = column(spark, [1e17, 0.25, float("nan"), None], "double")
+    assert df.agg(X.exact_sum("x"), X.exact_avg("x")).first() == (1e17, 5e16)
+    odd = column(spark, [1.0, float("inf"), 1e30], "double")
+    assert odd.agg(X.exact_sum("x"), X.exact_avg("x")).first() == (float("inf"), float("inf"))

@@ -65,3 +65,13 @@ def test_week_dates_hold_every_day_of_the_week(year):
         start, after = Period("week", year, week=day.isocalendar().week).dates()
         assert start <= day < after
         day += dt.timedelta(days=1)
+
+
+def test_iso_weeks_run_over_the_turn_of_the_year(spark):
+    days = [dt.date(1996, 12, 29) + dt.timedelta(days=i) for i in range(9)]
+    df = spark.createDataFrame([(d,) for d in days], "day date")
+    found = rows(period_filter(df, Period("iso_week", 1997, week=1), "day"))
+    assert found == [(d,) for d in days[1:8]]
+    assert Period("iso_week", 1997, month=1, week=1).monthly().grain == "month"
+    with pytest.raises(ValueError):
+        period_filter(df, Period("iso_week", 1997, week=1))

@@ -86,10 +86,10 @@ def pages(spark, tmp_path_factory):
 
 def test_read_attributes(pages):
     assert rows(landed.read_attributes(pages)) == [
-        ("a", "2024-01-01", "5", "Mood"),
-        ("a", "2024-01-02", "6", "Mood"),
-        ("a", "2024-02-01", None, "Weight"),
-        ("a", "2024-02-01", "7", "Mood"),
+        ("a", dt.date(2024, 1, 1), 5.0, "Mood"),
+        ("a", dt.date(2024, 1, 2), 6.0, "Mood"),
+        ("a", dt.date(2024, 2, 1), None, "Weight"),
+        ("a", dt.date(2024, 2, 1), 7.0, "Mood"),
     ]
 
 
@@ -227,3 +227,16 @@ def test_drop_covers_whole_days_only(spark, root):
     plan = snapshots.retention_plan(before, after)
     assert snapshots.drop_snapshots(spark, root, snapshots.removable_dates(after, plan)) == 2
     assert snapshots.snapshot_dates(spark, root, "money") == [DAY2]
+
+
+def test_pages_of_two_fetch_windows(spark):
+    """Page numbers start anew with each window: the later date wins, whatever the row order."""
+    from tallyspark import schemas
+
+    def page(no, day, value):
+        return ("a", no, None, [("Mood", [(day, value)])])
+
+    pages = [page(3, "2024-01-01", "1"), page(1, "2024-02-01", "2"), page(1, "2024-02-01", "0")]
+    for order in (pages, pages[::-1]):
+        df = spark.createDataFrame(order, schemas.ATTRIBUTE_PAGES)
+        assert rows(landed.latest_attribute_values(df), "value") == [("2",)]

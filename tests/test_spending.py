@@ -294,3 +294,15 @@ def test_one_user_alone_equals_that_user_among_many(finance, build):
     among = build(finance, ("user",)).where("user = 'hot'").drop("user")
     alone = build(finance.where("user = 'hot'").drop("user"), ())
     assert rows(among, *alone.columns) == rows(alone)
+
+
+@pytest.mark.parametrize("keys", [("user",), ()])
+def test_series_that_end_in_january(spark, keys):
+    """The month before a last January is December of the year before, though not shown."""
+    data = [("a", 2023, 12, 5, "income", 1000.0, dt.date(2023, 12, 5)), ("a", 2024, 1, 3, "food", -200.0, dt.date(2024, 1, 3))]
+    kind = "user string, year bigint, month bigint, day bigint, category string, total double, timestamp date"
+    ledger = spark.createDataFrame(data, kind)
+    saved = spending.savings_series(ledger, 100, 2024, keys=keys).collect()
+    assert [(r.month, r.shortfall) for r in saved] == [(1, 700.0)]
+    spent = spending.spending_series(ledger, 100, 2024, keys=keys).collect()
+    assert [(r.month, r.target) for r in spent] == [(1, -900.0)]

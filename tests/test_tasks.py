@@ -14,7 +14,6 @@ TASK = (
     "duration bigint, timeEstimate bigint"
 )
 HOUR = 3_600_000
-METHODS = pytest.mark.parametrize("recursive_rows", [tasks.RECURSIVE_ROWS, 0], ids=["recursion", "doubling"])
 
 
 def brute_force(tree):
@@ -49,10 +48,9 @@ EDGES = [
 DEEP = [("c", f"n{i}", f"n{i - 1}" if i else "root", f"t{i}") for i in range(7)]
 
 
-@METHODS
-def test_paths(spark, recursive_rows):
+def test_paths(spark):
     tree = spark.createDataFrame(EDGES + DEEP, TREE)
-    paths = tasks.category_paths(tree, recursive_rows=recursive_rows)
+    paths = tasks.category_paths(tree)
     assert rows(paths, "user", "node", "path", "category") == brute_force(EDGES + DEEP)
     lost = tasks.unresolved_categories(tree, paths)
     assert {r._id for r in lost.collect()} == {
@@ -60,8 +58,7 @@ def test_paths(spark, recursive_rows):
     }
 
 
-@METHODS
-def test_random_forests(spark, recursive_rows):
+def test_random_forests(spark):
     pick = random.Random(3)
     tree = []
     for user in ("a", "b"):
@@ -69,22 +66,20 @@ def test_random_forests(spark, recursive_rows):
             # A third hangs directly under one hot node.
             parent = pick.choice(["n0", "root", f"n{pick.randrange(70)}"])
             tree.append((user, f"n{i}", "root" if i == 0 else parent, f"t{i}"))
-    paths = tasks.category_paths(spark.createDataFrame(tree, TREE), recursive_rows=recursive_rows)
+    paths = tasks.category_paths(spark.createDataFrame(tree, TREE))
     assert rows(paths, "user", "node", "path", "category") == brute_force(tree)
 
 
-@METHODS
-def test_long_chain(spark, recursive_rows):
+def test_long_chain(spark):
     depth = 24
     tree = [("a", f"n{i}", f"n{i - 1}" if i else "root", f"t{i}") for i in range(depth)]
-    paths = tasks.category_paths(spark.createDataFrame(tree, TREE), recursive_rows=recursive_rows)
+    paths = tasks.category_paths(spark.createDataFrame(tree, TREE))
     assert rows(paths, "user", "node", "path", "category") == brute_force(tree)
 
 
-@METHODS
-def test_no_categories(spark, recursive_rows):
+def test_no_categories(spark):
     tree = spark.createDataFrame([], TREE)
-    assert tasks.category_paths(tree, recursive_rows=recursive_rows).count() == 0
+    assert tasks.category_paths(tree).count() == 0
 
 
 def test_duplicate_ids_resolve_once(spark):
@@ -156,3 +151,24 @@ def test_all_zero_hours_give_nothing(spark):
     assert rows(found, "user", "category") == [("b", "x")]
     alone = formatted.where("user = 'a'").drop("user")
     assert tasks.task_time_by_category(alone, 2024, 1, keys=()).count() == 0
+
+
+ROOTS = [("r", "root", "root", "Self"), ("r", "A", "root", "Alpha"), ("r", "B", "A", "Beta")]
+LOOPED = [("s", "root", "A", "In a cycle"), ("s", "A", "root", "Alpha"), ("s", "B", "root", "Beta")]
+
+
+def test_a_document_named_root(spark):
+    paths = tasks.category_paths(spark.createDataFrame(ROOTS + LOOPED, TREE))
+    assert rows(paths, "user", "node", "path") == [
+        ("r", "A", "Alpha"), ("r", "B", "Beta/Alpha"), ("r", "root", "Self"),
+        ("s", "A", "Alpha"), ("s", "B", "Beta"), ("s", "root", "In a cycle/Alpha"),
+    ]
+
+
+def test_a_deep_chain_and_a_hot_parent(spark):
+    deep = [("d", f"n{i}", f"n{i - 1}" if i else "root", "t") for i in range(5000)]
+    wide = [("w", f"c{i}", "top", "c") for i in range(3000)] + [("w", "top", "root", "Top")]
+    paths = tasks.category_paths(spark.createDataFrame(deep + wide, TREE))
+    found = {(r.user, r.node): r.path for r in paths.collect()}
+    assert len(found) == 8001 and found["d", "n4999"] == "/".join("t" * 5000)
+    assert found["w", "c2999"] == "c/Top"
