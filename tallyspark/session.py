@@ -28,11 +28,14 @@ CLUSTER = {
 def get_session(app: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session; without ``master`` the one spark-submit names."""
     builder = SparkSession.builder.appName(app)
-    defaults = DEFAULTS
     if master:
         builder = builder.master(master)
-    if not (master or "").startswith("local"):
-        defaults = {**DEFAULTS, **CLUSTER}
-    for key, value in {**defaults, **conf}.items():
+    for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    # The running context knows the master, however it was chosen.
+    if not spark.sparkContext.master.startswith("local"):
+        for key, value in CLUSTER.items():
+            if key not in conf and spark.sparkContext.getConf().get(key) is None:
+                spark.conf.set(key, value)
+    return spark

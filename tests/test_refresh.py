@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 
 from tallyspark import Period
-from tallyspark.operators import scorecard, spending, tasks
+from tallyspark.operators import attributes, scorecard, spending, tasks
 from tallyspark.plans import refresh
 from tallyspark.plans.views import scored_table
 from tallyspark.sources import config
@@ -103,9 +104,33 @@ def test_tasks(spark, root, landing):
     assert rows(found, "user", "category", "duration") == [("ann", "Work", 3.0)]
 
 
+def pushed(df, column):
+    """Filters on a column that reach a file scan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"PushedFilters: \[([^\]]*)\]", text)
+    return [f for f in found if f"GreaterThanOrEqual({column}," in f]
+
+
+def test_periods_reach_the_files(spark, root, landing):
+    settings = config.read_config(spark, f"{landing}/config")
+    daily = latest_snapshot(spark, root, "daily_finances")
+    income = spending.monthly_income(daily, 2024, 1, users=daily.select("user"))
+    assert "LessThan(timestamp,2024-02-01)" in pushed(income, "timestamp")[0]
+    assert pushed(spending.budget_shortfall(daily, 100, 2024, 1, 2024), "timestamp")
+    values = latest_snapshot(spark, root, "attributes")
+    formatted = attributes.format_attributes(values, config.habit_targets(settings), DAY1)
+    assert pushed(attributes.habit_achievement(formatted, 2024, 1, DAY1), "date")
+    shown = tasks.format_tasks(latest_snapshot(spark, root, "tasks"), config.task_rollup_set(settings))
+    assert pushed(tasks.task_time_by_category(shown, 2024, 1), "day")
+
+
 def test_second_refresh_makes_the_first_removable(spark, root, landing):
     before = spark.createDataFrame(list_snapshots(spark, root, refresh.DATASETS).collect())
     assert refresh.stale_after_refresh(spark, root, before).count() == 0
     refresh.refresh(spark, landing, root, DAY2)
     stale = refresh.stale_after_refresh(spark, root, before)
     assert rows(stale) == sorted((d, "ann", DAY1) for d in refresh.DATASETS)
+    # The days it replaced are gone, with their lists of users.
+    left = list_snapshots(spark, root, refresh.DATASETS).collect()
+    assert {(r.dataset, r.snapshot_date) for r in left} == {(d, DAY2) for d in refresh.DATASETS}
+    assert latest_snapshot(spark, root, "account_totals", user="ann").count() > 0
