@@ -164,3 +164,18 @@ def test_op1_against_plain(spark):
         assert r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.n_turns == len(mine)
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and r.loss_chars == len(loss)
     assert not by_conv, json.dumps(list(by_conv))
+
+
+def test_op1_against_its_sql(spark):
+    import duckdb
+
+    from tallyspark.llm.queries import ORACLES, QUERIES
+
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    found = QUERIES["op1_chat"](spark, SF)
+    columns = sorted(found.columns)
+    want = tables.execute(ORACLES["op1_chat"]).df()
+    assert sorted(want.columns) == columns
+    as_text = lambda pdf: sorted(map(tuple, pdf[columns].astype(str).to_numpy().tolist()))
+    assert as_text(found.toPandas()) == as_text(want)
