@@ -328,7 +328,7 @@ def _compare_blocks(settings: Settings):
         if x != y:
             able &= block[:, None] != block[None, :]
         low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-        able &= low >= settings.similarity * high
+        able &= low / high >= settings.similarity
         i, j = np.nonzero(able)
         likely = np.argsort(-shared[i, j], kind="stable")
         out = []
@@ -337,7 +337,7 @@ def _compare_blocks(settings: Settings):
             if u == v:
                 continue
             both = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
-            if both >= settings.similarity * (sizes[a] + sizes[b] - both):
+            if both / (sizes[a] + sizes[b] - both) >= settings.similarity:
                 parent[u] = v
                 out.append((rows["node"][a], rows["node"][b]))
         return pd.DataFrame(out, columns=["a", "b"])
