@@ -198,6 +198,8 @@ def fit_rates(weighted: DataFrame, targets: list[float], budget: float, settings
     residuals are within ``tolerance`` or, where targets cannot be met, no longer move.
     """
     domains = range(len(targets))
+    # Equal posteriors have equal rates: a step reads a row for each combination of bins seen.
+    weighted = settle(weighted.groupBy("p").agg(F.sum("tokens").alias("tokens")), "mix-groups")
     scale = sum(targets) or 1.0
     wanted = [budget * t / scale for t in targets]
     steps: list[list[float]] = []
