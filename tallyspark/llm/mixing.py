@@ -26,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.sampling import hash_sample
 from tallyspark.sources.workspace import settle
 
 #: Upper ends of bins; a value above all of them is in the last bin.
@@ -112,8 +113,7 @@ def fit_measured(
     ``labelled``: doc_id and domain (text). Domains are in alphabetical order.
     """
     known = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "domain").distinct()
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(settings.sample)
-    sample = settle(sample, "mix-sample")
+    sample = settle(hash_sample(known, settings.sample, "doc_id"), "mix-sample")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     spoken = chosen.select("domain", F.explode(F.array_distinct(F.split(_text(), r"[^\p{L}]+"))).alias("w"))
     by_word = spoken.where(F.length("w") > 2).groupBy("w", "domain").agg(F.count(F.lit(1)).alias("n"))

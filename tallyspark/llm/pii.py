@@ -25,7 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tallyspark.llm.sampling import hash_sample
+from tallyspark.sources.workspace import settle
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -285,8 +287,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             yield pd.DataFrame(out, columns=["doc", "start", "kind", "label", "x"])
 
     found = docs.select("doc_id", "text").mapInPandas(rows, "doc string, start long, kind string, label int, x binary")
-    order = ("doc", "start", "kind", "label", "x")
-    picked = found.orderBy(F.xxhash64("doc", "start", "kind"), *order).limit(settings.sample).collect()
+    found = settle(found, "pii-examples")
+    picked = hash_sample(found, settings.sample, "doc", "start", "kind").collect()
     x = np.frombuffer(b"".join(r.x for r in picked), "<f4").reshape(-1, WIDTH).astype(float)
     y = np.array([r.label for r in picked], dtype=float)
     apart = np.array([hash_of(r.doc) % 4 == 0 for r in picked], dtype=bool)

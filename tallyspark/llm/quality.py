@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.sampling import hash_sample
+
 FEATURES = 2048
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 
@@ -160,12 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
     ``labels`` holds the rows allowed for training. Only their ids and labels, a bounded
     number, are sent to the scan of the documents; term counts come back.
     """
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_label")
-        .limit(settings.sample)
-    )
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    usable = usable.select("doc_id", F.col(label).cast("int").alias("_label"))
+    chosen = hash_sample(usable, settings.sample, "doc_id")
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
