@@ -44,9 +44,9 @@ class Settings:
     words: int = 16
     least_documents: int = 5
     least_log_odds: float = 3.0
-    steps: int = 30
-    tolerance: float = 1e-6
-    progress: float = 2e-5
+    steps: int = 20
+    tolerance: float = 1e-5
+    progress: float = 1e-4
 
 
 @dataclass(frozen=True)
