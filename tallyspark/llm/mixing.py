@@ -180,13 +180,16 @@ def rates(probabilities: Column, steps: list[list[float]]) -> Column:
     if not steps:
         return F.lit(1.0)
 
-    def move(rate: Column, step: Column) -> Column:
-        pull = F.aggregate(
-            F.zip_with(probabilities, step, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b
-        )
-        return F.greatest(F.lit(0.0), rate - pull)
+    def rate(chances: Column) -> Column:
+        def move(rate: Column, step: Column) -> Column:
+            pulls = F.zip_with(chances, step, lambda p, g: p * g)
+            pull = F.aggregate(pulls, F.lit(0.0), lambda a, b: a + b)
+            return F.greatest(F.lit(0.0), rate - pull)
+
+        return F.aggregate(F.lit(steps), F.lit(1.0), move)
 
-    return F.aggregate(F.lit(steps), F.lit(1.0), move)
+    # Bound to a variable, so that the posterior is worked out once a row and not once a step.
+    return F.transform(F.array(probabilities), rate)[0]
 
 
 def fit_rates(weighted: DataFrame, targets: list[float], budget: float, settings: Settings = Settings()) -> list[list[float]]:
