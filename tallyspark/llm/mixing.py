@@ -256,10 +256,9 @@ def mix(
     steps = fit_rates(weighted, [targets.get(d, 0.0) for d in model.domains], budget, settings)
     seen = measure(docs, model.words, *docs.columns)
     rated = seen.withColumn("_m_copies", copies(rates(posteriors(model), steps), at_most))
-    kept = rated.where("_m_copies >= 1")
-    if at_most > 1:
-        kept = kept.withColumn("_m_copy", F.explode(F.expr("sequence(1, cast(_m_copies as int))")))
-    return kept.select(*docs.columns)
+    # Exploded, not filtered: a filter would be pushed below and repeat the work on the text for every bin.
+    again = F.explode(F.array_repeat(F.lit(1), F.col("_m_copies").cast("int")))
+    return rated.withColumn("_m_copy", again).select(*docs.columns)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
