@@ -2,12 +2,16 @@
 
 Base spans (e-mail, IP address, card, phone) always stay. Generators propose overlapping
 candidates: pieces of longer digit runs, numbers without a prefix, spelled-out addresses.
-Boosted trees score them by format and context. They learn from the candidates whose verdict
-the validations give: a validated span is an example for, a match that fails validation one
-against. On examples kept apart, scores are calibrated (Platt) and each kind's threshold is
-the lowest that reaches ``precision``; a kind without examples on both sides adds nothing.
+Boosted trees score them by format and context. Examples for: validated spans, as they are and
+in the disguises the generators look for (an address spelled out, a number without its prefix,
+an IP address with spaces). Examples against: matches that fail validation, validated spans made
+invalid, generated candidates without a context word of their kind, and ordinary words put into
+the shape of a spelled-out address. On examples kept apart, scores are calibrated (Platt), and
+each kind's threshold is the lowest that reaches ``precision`` in a histogram of the scores of
+all of them, counted in Spark; a kind without examples on both sides adds nothing.
 
-Bounded: at most ``sample`` examples, chosen by a hash over all candidates, come to the driver.
+Bounded: at most ``sample`` examples, the same number for each kind and verdict, chosen by a
+hash over all, come to the driver.
 
 Edge cases: a NULL text is empty; empty texts have no spans; repeated rows each give a row;
 NULL ids pass through; an empty table gives no rows and no model; other columns are ignored.
@@ -19,12 +23,13 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyspark.llm.sampling import hash_sample
 from tallyspark.sources.workspace import settle
@@ -44,6 +49,11 @@ _SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}"
     r"(?:(?: dot | ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63})+"
 )
+#: Shapes of a spelled-out address: what stands for the sign and for a dot.
+_SHAPES = ((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "))
+_WORDS = re.compile(r"([A-Za-z]{1,20}) ([A-Za-z]{1,20}) ([A-Za-z]{1,20})")
+_LAST = re.compile(r"[A-Za-z]+$")
+_ENDINGS = frozenset("com org net edu gov info biz io co eu de fr es it uk ch at nl".split())
 _HINTS = (
     re.compile(r"mail|contact|write|courriel|correo|kontakt", re.I),
     re.compile(r"\bip\b|host|server|addr", re.I),
@@ -61,6 +71,7 @@ class Settings:
     bins: int = 32
     precision: float = 0.99
     least_examples: int = 20
+    histogram: int = 1000
 
 
 def luhn(digits: str) -> bool:
@@ -142,6 +153,7 @@ def features(text: str, span: Span) -> list[float]:
     octets = [int(g[-4:]) for g in _GROUP.findall(inner)] or [0]
     signs = {c for c in inner if not c.isalnum()}
     near = before + after
+    last = _LAST.search(inner)
     return [
         *[float(kind == k) for k in KINDS],
         float(end - start),
@@ -164,6 +176,7 @@ def features(text: str, span: Span) -> list[float]:
         float(right.isalpha()),
         float(sum(c.isdigit() for c in near)),
         *[float(bool(h.search(near))) for h in _HINTS],
+        float(last is not None and last.group().lower() in _ENDINGS),
     ]
 
 
@@ -267,13 +280,72 @@ def _threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float | None:
     return max(0.5, float(p[order][fine[-1]])) if len(fine) else None
 
 
-def _examples(text: str) -> list[tuple[Span, int]]:
+Example = tuple[str, Span, int]
+
+
+def _altered(text: str, span: Span, new: str, label: int) -> Example:
+    """An example with ``new`` in the place of a span, in the same surroundings."""
+    before, after = text[max(0, span[1] - 24) : span[1]], text[span[2] : span[2] + 24]
+    return before + new + after, (span[0], len(before), len(before) + len(new)), label
+
+
+def _disguised(text: str, span: Span, luck: int) -> Iterator[Example]:
+    """A validated span as only the generators find it."""
+    kind, inner = span[0], text[span[1] : span[2]]
+    if kind == "email":
+        at, dot = _SHAPES[luck % len(_SHAPES)]
+        local, domain = inner.split("@")
+        new = local + at + domain.replace(".", dot)
+        if _SPELLED.fullmatch(new):
+            yield _altered(text, span, new, 1)
+    elif kind == "ip":
+        yield _altered(text, span, inner.replace(".", ". "), 1)
+    elif kind == "phone":
+        yield _altered(text, span, inner[1:], 1)
+        rest = inner[_GROUP.match(inner, 1).end() :].lstrip(" .-)")
+        if 9 <= len(_digits(rest)):
+            yield _altered(text, span, rest, 1)
+
+
+def _broken(text: str, span: Span, luck: int) -> Iterator[Example]:
+    """A validated span changed so that its validation fails."""
+    kind, inner = span[0], text[span[1] : span[2]]
+    if kind == "ip":
+        parts = inner.split(".")
+        parts[luck % 4] = str(256 + luck % 744)
+        yield _altered(text, span, (". " if luck & 64 else ".").join(parts), 0)
+    elif kind == "card":
+        yield _altered(text, span, inner[:-1] + str((int(inner[-1]) + 1) % 10), 0)
+
+
+def _examples(text: str, luck: int) -> Iterator[Example]:
+    """Texts, spans in them and verdicts; ``luck``: a hash that settles which shapes are made."""
     found = list(matches(text))
     valid = [(k, a, b) for k, a, b, fine in found if fine]
     # A match that fails, but lies in valid personal data of another kind, is no example against.
-    taken = Taken(valid)
-    against = [(k, a, b) for k, a, b, fine in found if not fine and not taken.touches(a, b)]
-    return [(s, 1) for s in valid] + [(s, 0) for s in against]
+    taken, seen = Taken(valid), set()
+    for span in valid:
+        yield text, span, 1
+        yield from _disguised(text, span, luck + span[1])
+        yield from _broken(text, span, luck + span[1])
+    for k, a, b, fine in found:
+        if not fine and not taken.touches(a, b):
+            seen.add((k, a, b))
+            yield text, (k, a, b), 0
+    for span in candidates(text):
+        kind, a, b = span
+        if span in seen or taken.touches(a, b):
+            continue
+        if not _HINTS[KINDS.index(kind)].search(text[max(0, a - 24) : a] + text[b : b + 24]):
+            yield text, span, 0
+    words = _WORDS.search(text, luck % max(1, len(text))) if (luck >> 8) % 4 == 0 else None
+    if words and not taken.touches(*words.span()):
+        one, two, three = words.groups()
+        yield _altered(text, ("email", *words.span()), f"{one} at {two} dot {three}", 0)
+
+
+def _vectors(stored: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(stored), "<f4").reshape(-1, WIDTH).astype(float)
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
@@ -281,18 +353,50 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for span, label in _examples(text or ""):
-                    x = np.array(features(text, span), dtype="<f4").tobytes()
+                for seen, span, label in _examples(text or "", hash_of(str(doc))):
+                    x = np.array(features(seen, span), dtype="<f4").tobytes()
                     out.append((str(doc), span[1], span[0], label, x))
             yield pd.DataFrame(out, columns=["doc", "start", "kind", "label", "x"])
 
     found = docs.select("doc_id", "text").mapInPandas(rows, "doc string, start long, kind string, label int, x binary")
     found = settle(found, "pii-examples")
-    picked = hash_sample(found, settings.sample, "doc", "start", "kind").collect()
-    x = np.frombuffer(b"".join(r.x for r in picked), "<f4").reshape(-1, WIDTH).astype(float)
+    picked = []
+    for kind in KINDS:
+        for label in (0, 1):
+            mine = found.where((F.col("kind") == kind) & (F.col("label") == label))
+            picked += hash_sample(mine, settings.sample // (2 * len(KINDS)), "doc", "start", "x").collect()
+    x = _vectors(r.x for r in picked)
     y = np.array([r.label for r in picked], dtype=float)
     apart = np.array([hash_of(r.doc) % 4 == 0 for r in picked], dtype=bool)
-    return Model(x, y, apart, settings)
+    model = Model(x, y, apart, settings)
+    if model.trees is not None:
+        model.thresholds = _thresholds(found, model, settings)
+    return model
+
+
+def _thresholds(found: DataFrame, model: Model, settings: Settings) -> dict[str, float | None]:
+    """The threshold of each kind, from the histogram of all scores kept apart."""
+    shared, bins = found.sparkSession.sparkContext.broadcast(model), settings.histogram
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = shared.value.probabilities(_vectors(batch["x"]))
+            cell = np.minimum((p * bins).astype(np.int32), bins - 1)
+            yield pd.DataFrame({"kind": batch["kind"], "label": batch["label"], "cell": cell})
+
+    apart = found.where(F.crc32(F.col("doc").cast("binary")) % 4 == 0).select("kind", "label", "x")
+    counted = apart.mapInPandas(scored, "kind string, label int, cell int").groupBy("kind", "label", "cell")
+    counts = {kind: np.zeros((2, bins)) for kind in KINDS}
+    for r in counted.agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.kind][r.label, r.cell] = r.n
+    out: dict[str, float | None] = dict.fromkeys(KINDS)
+    for kind, both in counts.items():
+        if both.sum(axis=1).min() >= settings.least_examples:
+            against, right = both[:, ::-1].cumsum(axis=1)
+            fine = np.flatnonzero((right > 0) & (right >= settings.precision * (right + against)))
+            if len(fine):
+                out[kind] = max(0.5, (bins - 1 - int(fine[-1])) / bins)
+    return out
 
 
 def hash_of(text: str) -> int:

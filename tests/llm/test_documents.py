@@ -371,6 +371,40 @@ def test_added_spans_are_learned(spark):
     assert pii.redact(rows[800][1], [("card", 5, 21)]) == "card <card> 20 24"
 
 
+def test_each_kind_adds_a_planted_span(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def planted(i):
+        digits = number(15)
+        card = next(digits + d for d in "0123456789" if pii.luhn(digits + d))
+        ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        return (
+            f"contact {word()}@{word()}.com", f"host {ip}", f"card {card}",
+            f"call +1 ({number(3)}) {number(3)}-{number(4)}", f"token {word()}{number(9)}{word()}",
+        )[i % 5]
+
+    prose = lambda: " ".join(word() for _ in range(12))
+    rows = [(i, f"{prose()} {planted(i)} {prose()}") for i in range(2500)]
+    hidden = {
+        "email": ("contact ", "jane at fabeg dot com"), "ip": ("host ", "10. 20. 30. 40"),
+        "card": ("card ", "4111111111111111"), "phone": ("call ", "1 (826) 555-4381"),
+    }
+    plants = list(hidden.items())
+    rows += [(9000 + i, f"{prose()} {lead}{span}{' 20 24' if kind == 'card' else ''} {prose()}") for i, (kind, (lead, span)) in enumerate(plants)]
+    rows += [(9100, f"{prose()} bade at gafe dot chad {prose()}")]
+    docs = documents(spark, rows)
+    model = pii.fit(docs)
+    assert all(model.thresholds[kind] is not None for kind in pii.KINDS), model.thresholds
+    found = {r.doc_id: r.spans for r in pii.find_pii(docs.where("doc_id >= 9000"), model).collect()}
+    texts = dict(rows)
+    for i, (kind, (_, span)) in enumerate(plants):
+        at = texts[9000 + i].index(span)
+        assert [(s.kind, s.start, s.end, s.added) for s in found[9000 + i]] == [(kind, at, at + len(span), True)]
+    assert found[9100] == []
+
+
 def test_op8_query(spark, given):
     found = {r.doc_id: r for r in QUERIES["op8_boosted_pii"](spark, SF).collect()}
     for r in given:
