@@ -29,17 +29,20 @@ class Bands:
 
     ``whole``: (bytes from, lowest ratio, highest ratio), ascending; texts shorter than the
     first row are not judged. Chunks of ``chunk`` bytes must lie between ``chunk_low`` and
-    ``chunk_high``, up to a share of ``bad_share``; a shorter rest is not judged.
+    ``chunk_high``, up to a share of ``bad_share``; a shorter rest is judged as part of the
+    last ``chunk`` bytes. Low limits lie above base64 and printable noise, below prose; hex
+    compresses as well as dense prose and is not told from it.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
-        (200, 1.05, 2.8),
-        (800, 1.15, 3.0),
-        (3200, 1.2, 3.5),
-        (12800, 1.25, 4.0),
+        (200, 1.25, 2.8),
+        (400, 1.35, 2.8),
+        (800, 1.45, 3.0),
+        (3200, 1.5, 3.5),
+        (12800, 1.5, 4.0),
     )
     chunk: int = 2048
-    chunk_low: float = 1.15
+    chunk_low: float = 1.45
     chunk_high: float = 3.5
     bad_share: float = 0.34
     level: int = 3
@@ -93,13 +96,15 @@ def band_verdict(raw: bytes, compressor, bands: Bands) -> tuple[float, float, bo
     for start, lowest, highest in bands.whole:
         if len(raw) >= start:
             low, high = lowest, highest
-    chunks = len(raw) // bands.chunk
+    starts = list(range(0, len(raw) - bands.chunk + 1, bands.chunk))
+    if starts and len(raw) % bands.chunk:
+        starts.append(len(raw) - bands.chunk)
     bad = 0
-    for i in range(chunks):
-        part = raw[i * bands.chunk : (i + 1) * bands.chunk]
+    for start in starts:
+        part = raw[start : start + bands.chunk]
         found = len(part) / len(compressor.compress(part))
         bad += not bands.chunk_low <= found <= bands.chunk_high
-    share = bad / chunks if chunks else 0.0
+    share = bad / len(starts) if starts else 0.0
     return ratio, share, low <= ratio <= high and share <= bands.bad_share
 
 

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -70,6 +71,26 @@ def test_bands(spark):
     assert compression.judge(documents(spark, [])).count() == 0
 
 
+def test_noise_of_many_words_is_not_kept(spark):
+    rng = random.Random(3)
+    letters = {"base64": string.ascii_letters + string.digits + "+/", "printable": "".join(map(chr, range(33, 127)))}
+    rows, noise = [], lambda signs, n: " ".join("".join(rng.choices(signs, k=rng.randint(3, 6))) for _ in range(n // 5))
+    for signs in letters.values():
+        rows += [(len(rows), noise(signs, size).replace(" ", gap, 1)) for size in (350, 600, 1000, 2500, 5000, 30000) for gap in " \n"]
+    found = compression.judge(documents(spark, rows)).collect()
+    assert not any(r.kept or r.base_failed for r in found), [(r.doc_id, r.ratio) for r in found]
+    prose = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (80, 250, 900)]
+    assert all(r.kept for r in compression.judge(documents(spark, list(enumerate(prose)))).collect())
+
+
+def test_the_end_of_a_text_is_judged(spark):
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(900))
+    end = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(5)) for _ in range(340))
+    found = compression.judge(documents(spark, [(1, prose[:2048] + end), (2, prose[:4000])])).collect()
+    assert [r.bad_chunk_share for r in found] == [0.5, 0.0]
+
+
 # --- decontamination --------------------------------------------------------
 
 
