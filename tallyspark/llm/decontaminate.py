@@ -7,6 +7,10 @@ diagonals; a band with enough of them close together is a region, and a region c
 only if an alignment inside the band has a stretch of that length within the budget. A
 gapless alignment is tried first, then the banded one with gaps.
 
+Case and white space are folded on both sides. First letters and signs one to one, which keeps
+all lengths; then, where that differs, with runs of white space as one and full case folding.
+Positions are those of the text as written.
+
 The benchmark is the query set. Its text goes to the tasks in blocks of ``block_bytes``;
 a larger benchmark means more passes over the documents, each as cheap in memory.
 
@@ -67,8 +71,74 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point that has a case or is space: its one-to-one fold, its full fold's length, whether space."""
+    signs = [chr(c) for c in range(0x20000)]
+    full = [c.casefold() for c in signs]
+    one = [f if len(f) == 1 else low if len(low := c.lower()) == 1 else c for c, f in zip(signs, full, strict=True)]
+    space = np.array([c.isspace() for c in signs])
+    single = np.array([ord(c) for c in one], dtype=np.uint32)
+    single[space] = 32
+    return single, np.array([len(f) for f in full]), space
+
+
+_SINGLE, _LENGTHS, _IS_SPACE = _tables()
+
+
+def fold_single(text: str) -> str:
+    """Case and kinds of white space folded, position by position."""
+    codes = code_points(text)
+    known = codes < len(_SINGLE)
+    folded = np.where(known, _SINGLE[np.where(known, codes, 0)], codes).astype("<u4")
+    return folded.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def fold_whole(text: str) -> tuple[str, np.ndarray]:
+    """The text without outer white space, runs of it as one, in full case folding; and where each sign stood."""
+    codes = code_points(text)
+    low = np.where(codes < len(_SINGLE), codes, 0)
+    space = _IS_SPACE[low]
+    keep = ~space
+    if keep.any():
+        inner = np.flatnonzero(keep)[[0, -1]]
+        first = space & ~np.append(False, space[:-1])
+        first[: inner[0]] = first[inner[1] :] = False
+        keep |= first
+    at = np.flatnonzero(keep)
+    kept = codes[at].copy()
+    kept[space[at]] = 32
+    folded = kept.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").casefold()
+    return folded, np.repeat(at, np.where(space[at], 1, _LENGTHS[low[at]]))
+
+
 class Index:
-    """q-grams of one block of items."""
+    """One block of items, searched with folds that keep lengths and, where it differs, with whole folds."""
+
+    def __init__(self, items: list[tuple[object, str]], settings: Settings) -> None:
+        known = [(item, text) for item, text in items if text is not None]
+        self.single = Grams([(item, fold_single(text)) for item, text in known], settings)
+        whole = [(item, fold_single(text), fold_whole(text)[0]) for item, text in known]
+        self.whole = Grams([(item, text) for item, _, text in whole], settings)
+        self.changed = Grams([(item, text) for item, before, text in whole if text != before], settings)
+
+    def search(self, texts: list[str]) -> list[tuple[int, object, int, int, int]]:
+        """(text number, item, start, end, edits), in code points of the text as written, end exclusive."""
+        single = [fold_single(t) for t in texts]
+        found = self.single.search(single)
+        folded = [fold_whole(t) for t in texts]
+        differ = np.array([f != s for (f, _), s in zip(folded, single, strict=True)], dtype=bool)
+        # A text that folds to the same needs the items only that do not.
+        for grams, which in ((self.whole, np.flatnonzero(differ)), (self.changed, np.flatnonzero(~differ))):
+            if not len(grams.items):
+                continue
+            for i, item, start, end, edits in grams.search([folded[i][0] for i in which]):
+                at = folded[which[i]][1]
+                found.append((int(which[i]), item, int(at[start]), int(at[end - 1]) + 1, edits))
+        return sorted(_merged(found), key=lambda r: (r[0], r[2], str(r[1])))
+
+
+class Grams:
+    """q-grams of items."""
 
     def __init__(self, items: list[tuple[object, str]], settings: Settings) -> None:
         self.q, self.items = settings.q, []

@@ -155,6 +155,23 @@ def test_passages_in_tables(spark, given):
     assert decontaminate.find_passages(documents(spark, []), benchmark).count() == 0
 
 
+def test_passages_in_other_case_and_white_space(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijß") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    item, other = " ".join(words[:40]), " ".join(words[40:])
+    wrapped = "\n    ".join(" ".join(words[i : i + 5]) for i in range(0, 40, 5))
+    rows = [(1, f"x  y {item.upper()} z"), (2, f"x {wrapped}  z"), (3, wrapped.upper()), (4, f"x {other} z"), (5, item.title())]
+    benchmark = spark.createDataFrame([(7, item), (8, " \t"), (9, "\n\n".join(words[:4]))], "item_id bigint, text string")
+    docs = documents(spark, rows)
+    found = {r.doc_id: r for r in decontaminate.find_passages(docs, benchmark).where("item_id = 7").collect()}
+    assert set(found) == {1, 2, 3, 5}
+    for doc, copy in ((1, item.upper()), (2, wrapped), (3, wrapped.upper()), (5, item.title())):
+        assert dict(rows)[doc][found[doc].start : found[doc].end] == copy and found[doc].edits == 0
+    short = decontaminate.find_passages(docs, benchmark).where("item_id = 9").collect()
+    assert {r.doc_id for r in short} == {1, 2, 3, 5}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [4]
+
+
 # --- quality ----------------------------------------------------------------
 
 
