@@ -5,6 +5,10 @@ its weight: arrivals fall on random registers, a register keeps its earliest arr
 process ends once its next arrival is later than every register's. The share of equal
 registers of two texts estimates their probability Jaccard similarity (Ertl 2020).
 
+A link asks for similar sets, whatever the counts. So a text with repeated shingles also has the
+registers of the same process with weight 1 each, in the same bands; a text without repeats
+has them already. Recall then follows the set similarity, also of texts that differ by repeats.
+
 Registers are grouped to bands; texts with an equal band are candidates, and a link is a pair
 whose shingle sets have an exact Jaccard similarity of ``similarity`` or more. Classes are the
 connected components of the links. Equal texts are one node from the start.
@@ -130,6 +134,23 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def text_keys(
+    owner: np.ndarray, hashes: np.ndarray, count: np.ndarray, texts: int, settings: Settings
+) -> list[np.ndarray]:
+    """Keys of the weighted bands and, for a text with repeated shingles, of the bands with weight 1."""
+    registers = settings.bands * settings.rows
+    held = signatures(owner, hashes, count.astype(float), texts, registers)
+    out = list(band_keys(held, settings.bands, settings.rows).view(np.int64))
+    odd = np.unique(owner[count > 1])
+    if len(odd):
+        mine = np.isin(owner, odd)
+        place = np.searchsorted(odd, owner[mine])
+        held = signatures(place, hashes[mine], np.ones(len(place)), len(odd), registers)
+        for i, keys in zip(odd.tolist(), band_keys(held, settings.bands, settings.rows).view(np.int64), strict=True):
+            out[i] = np.concatenate([out[i], keys])
+    return out
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, text in enumerate(texts):
@@ -164,10 +185,9 @@ def _keys(docs: DataFrame, settings: Settings) -> DataFrame:
             out = []
             for a, b in _blocks(texts):
                 owner, hashes, count = shingles(texts[a:b], settings.words)
-                held = signatures(owner, hashes, count.astype(float), b - a, settings.bands * settings.rows)
-                keys = band_keys(held, settings.bands, settings.rows).view(np.int64)
+                found = text_keys(owner, hashes, count, b - a, settings)
                 some = np.isin(np.arange(b - a), owner)
-                out += [k if s else k[:0] for k, s in zip(keys, some, strict=True)]
+                out += [k if s else k[:0] for k, s in zip(found, some, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(out, pa.list_(pa.int64()))],
                 names=["doc_id", "node", "keys"],
@@ -262,7 +282,7 @@ def _linked(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     texts = keyed.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")
     )
-    exploded = texts.select("node", F.explode("keys").alias("key"))
+    exploded = texts.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(exploded.join(several, "key"), "dedup-members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -308,7 +328,8 @@ def _family_links(
 def _compare_blocks(settings: Settings):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
-        keys = np.stack([np.asarray(k, dtype=np.int64) for k in rows["keys"]])
+        # Without repeats, the keys of weight 1 are the weighted ones.
+        keys = np.stack([np.resize(np.asarray(k, dtype=np.int64), 2 * settings.bands) for k in rows["keys"]])
         grams = [np.frombuffer(g, "<u8") for g in rows["grams"]]
         sizes = np.array([len(g) for g in grams])
         names = np.unique(rows["comp"].to_numpy(dtype=object), return_inverse=True)[1]
@@ -322,8 +343,14 @@ def _compare_blocks(settings: Settings):
             return i
 
         shared = np.zeros((len(rows), len(rows)), dtype=np.int16)
-        for k in keys.T:
-            shared += k[:, None] == k[None, :]
+        for weighted, plain in zip(keys.T[: settings.bands], keys.T[settings.bands :], strict=True):
+            shared += plain[:, None] == plain[None, :]
+            odd = np.flatnonzero(weighted != plain)
+            if len(odd):
+                across = weighted[odd, None] == plain[None, :]
+                shared[odd] += across
+                shared[:, odd] += across.T
+                shared[np.ix_(odd, odd)] += weighted[odd, None] == weighted[None, odd]
         able = np.triu(shared > 0, 1) & (names[:, None] != names[None, :])
         if x != y:
             able &= block[:, None] != block[None, :]

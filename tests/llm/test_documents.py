@@ -322,6 +322,19 @@ def plain_classes_of_ids(rows):
     return sorted(plain_classes(rows))
 
 
+def test_texts_that_differ_by_repeats_of_a_line(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(12):
+        body, line = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(12))
+        rows += [(10 * i, f"{body}\n{line}"), (10 * i + 1, body + f"\n{line}" * 200), (10 * i + 2, body + f"\n{line}" * 2000)]
+    assert classes_of(documents(spark, rows)) == plain_classes(rows)
+    # The same where no leader decides: blocks compare every pair of a bucket.
+    monkeypatch.setattr(probminhash, "BLOCK", 4)
+    assert classes_of(documents(spark, rows)) == plain_classes(rows)
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(5)
     common, one, two = (rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (60, 20, 20))
