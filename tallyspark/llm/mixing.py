@@ -3,7 +3,9 @@
 A naive Bayes classifier learned from a labelled table gives every document a posterior for
 each domain. Its inputs are counts of learned words and shares of sign classes, in bins. Then
 every document gets a rate >= 0, its expected number of copies, so that the expected tokens of
-each domain match the targets: projected gradient least squares, started from 1 for all. One
+each domain match the targets: projected gradient least squares, started from 1 for all. Where
+its steps get slow, Newton's method on the dual problem finds the last step, which brings the
+residuals within tolerance or, where targets cannot be met, to the least-squares compromise. A
 step needs the expected tokens of each domain, a sum over all documents; a document's rate
 follows from its own posterior and the steps so far, so no rates are stored between steps.
 
@@ -23,6 +25,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +49,8 @@ class Settings:
     least_log_odds: float = 3.0
     steps: int = 20
     tolerance: float = 1e-5
-    progress: float = 1e-4
+    slow: float = 0.5
+    weight: float = 1e-7
 
 
 @dataclass(frozen=True)
@@ -198,7 +202,8 @@ def fit_rates(weighted: DataFrame, targets: list[float], budget: float, settings
     ``targets``: the share of each domain; ``budget``: expected tokens, as a multiple of all
     tokens. Residuals are scaled by the domain's expected tokens at rate 1, which bounds the
     step's largest eigenvalue by 1, so a step length of 1 never overshoots. Ends when all
-    residuals are within ``tolerance`` or, where targets cannot be met, no longer move.
+    residuals are within ``tolerance``. When a step leaves more than a share ``slow`` of the
+    largest, or at the last but one, the last step is found by ``_last_step``.
     """
     domains = range(len(targets))
     # Equal posteriors have equal rates: a step reads a row for each combination of bins seen.
@@ -207,8 +212,8 @@ def fit_rates(weighted: DataFrame, targets: list[float], budget: float, settings
     wanted = [budget * t / scale for t in targets]
     steps: list[list[float]] = []
     mass: list[float] | None = None
-    before: list[float] = []
-    for _ in range(settings.steps):
+    before = float("inf")
+    while True:
         rated = weighted.select("tokens", "p", rates(F.col("p"), steps).alias("r"))
         sums = rated.agg(
             F.sum("tokens").alias("all"),
@@ -219,13 +224,70 @@ def fit_rates(weighted: DataFrame, targets: list[float], budget: float, settings
         have = [(sums[f"d{d}"] or 0.0) / sums["all"] for d in domains]
         mass = mass or have
         residual = [h - w for h, w in zip(have, wanted, strict=True)]
-        moved = max((abs(a - b) for a, b in zip(residual, before, strict=False)), default=1.0)
-        before = residual
-        reachable = [abs(e) for e, m in zip(residual, mass, strict=True) if m > 1e-12]
-        if max(reachable, default=0.0) <= settings.tolerance or moved <= settings.progress:
-            break
+        most = max((abs(e) for e, m in zip(residual, mass, strict=True) if m > 1e-12), default=0.0)
+        if most <= settings.tolerance:
+            return steps
+        if most > settings.slow * before or len(steps) + 1 >= settings.steps:
+            return [*steps, _last_step(rated, sums["all"], wanted, mass, settings)]
+        before = most
         steps.append([e / m if m > 1e-12 else 0.0 for e, m in zip(residual, mass, strict=True)])
-    return steps
+
+
+def _last_step(rated: DataFrame, total: float, wanted: list[float], mass: list[float], settings: Settings) -> list[float]:
+    """The step to the rates nearest to those of ``rated`` (tokens, p, r) with least residuals.
+
+    The least of residuals squared / mass + ``weight`` * (change of rates) squared lies at rates
+    max(0, r - p . step), where step minimises a smooth convex function of one number a domain.
+    Newton's method with backtracking; each try is one pass over the groups.
+    """
+    able = [d for d, m in enumerate(mass) if m > 1e-12]
+    m, goal = np.array([mass[d] for d in able]), np.array([wanted[d] for d in able])
+    rated = settle(rated, "mix-rated")
+
+    def tried(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        full = [0.0] * len(mass)
+        for d, g in zip(able, step.tolist(), strict=True):
+            full[d] = g
+        pull = reduce(lambda a, b: a + b, [F.col("p")[d] * g for d, g in enumerate(full)])
+        rate = F.greatest(F.lit(0.0), F.col("r") - pull)
+        chances = rated.select(*[F.col("p")[d].alias(f"p{d}") for d in able], F.col("tokens") / total, rate).toDF(
+            *[f"p{d}" for d in able], "t", "r"
+        )
+        live = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        pairs = [(i, j) for i in range(len(able)) for j in range(i + 1)]
+        sums = chances.agg(
+            F.sum(F.col("t") * F.col("r") * F.col("r") / 2),
+            *[F.sum(F.col("t") * F.col("r") * F.col(f"p{d}")) for d in able],
+            *[F.sum(live * F.col(f"p{able[i]}") * F.col(f"p{able[j]}")) for i, j in pairs],
+        ).first()
+        curve = np.diag(settings.weight * m)
+        for (i, j), value in zip(pairs, sums[1 + len(able) :], strict=True):
+            curve[i, j] += value
+            curve[j, i] += value if i != j else 0.0
+        slope = settings.weight * m * step - np.array(sums[1 : 1 + len(able)]) + goal
+        return settings.weight / 2 * step @ (m * step) + sums[0] + step @ goal, slope, curve
+
+    step = np.zeros(len(able))
+    value, slope, curve = tried(step)
+    while True:
+        # The residual but for the part that the weight explains.
+        if np.abs(slope).max() <= settings.tolerance / 10:
+            break
+        move = np.linalg.solve(curve, -slope)
+        length, better = 1.0, None
+        while length > 1e-6:
+            better = tried(step + length * move)
+            if better[0] <= value + 1e-4 * length * (slope @ move):
+                break
+            length, better = length / 2, None
+        if better is None:
+            break
+        step = step + length * move
+        value, slope, curve = better
+    out = [0.0] * len(mass)
+    for d, g in zip(able, step.tolist(), strict=True):
+        out[d] = g
+    return out
 
 
 def copies(rate: Column, at_most: int | None = None) -> Column:

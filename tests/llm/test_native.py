@@ -129,6 +129,26 @@ def test_posteriors_and_rates_meet_targets(spark, corpus):
     np.testing.assert_allclose(rate, own, atol=1e-6)
 
 
+def test_soft_posteriors_meet_targets_and_compromise(spark):
+    soft = [(0.995, 0.004, 0.001), (0.6, 0.4, 0.0), (0.05, 0.9, 0.05), (0.1, 0.1, 0.8)]
+    softer = [(0.9, 0.06, 0.04), (0.6, 0.4, 0.0), (0.3, 0.6, 0.1), (0.2, 0.1, 0.7), (0.999, 0.0005, 0.0005)]
+    for chances, tokens in ((soft, (70, 15, 10, 5)), (softer, (60, 15, 10, 5, 10))):
+        p, tau = np.array(chances), np.array(tokens) / 100
+        weighted = spark.createDataFrame([(t, list(c)) for t, c in zip(tokens, chances, strict=True)], "tokens bigint, p array<double>")
+        for targets in ([0.97, 0.01, 0.02], [0.2, 0.2, 0.6], [0.0, 0.9999, 0.0001]):
+            steps = mixing.fit_rates(weighted, targets, 1.0)
+            rate = dict((tuple(r.p), r.rate) for r in weighted.withColumn("rate", mixing.rates(F.col("p"), steps)).collect())
+            rate = np.array([rate[c] for c in chances])
+            residual = (tau * rate) @ p - targets
+            # Met, or no rate can be moved for the better.
+            pull = p @ (residual / (tau @ p))
+            assert np.abs(residual).max() <= 1e-5 or (np.where(rate > 1e-9, np.abs(pull), -pull).max() <= 1e-3), (targets, rate, residual)
+    weighted = spark.createDataFrame([(t, list(c)) for t, c in zip((70, 15, 10, 5), soft, strict=True)], "tokens bigint, p array<double>")
+    rated = weighted.withColumn("rate", mixing.rates(F.col("p"), mixing.fit_rates(weighted, [0.97, 0.01, 0.02], 1.0)))
+    low = rated.select(F.sum(F.col("tokens") * F.col("rate") * F.col("p")[1]) / 100).first()[0]
+    assert abs(low - 0.01) <= 1e-5
+
+
 def test_infeasible_targets_end(spark, corpus):
     model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
     weighted = mixing.weigh(corpus.where("domain = 'clean'"), model)
