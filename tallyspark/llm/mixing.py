@@ -34,6 +34,7 @@ from tallyspark.sources.workspace import settle
 
 #: Upper ends of bins; a value above all of them is in the last bin.
 SHARES = (0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
+RATIOS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 HITS = (0.5, 1.5, 2.5, 4.5)
 SIGNS = r"[#*$%&|<>!{}\[\]\\^~@=_]"
 #: A word three times or more in a row.
@@ -75,12 +76,13 @@ def measure(docs: DataFrame, words: tuple[tuple[str, ...], ...], *keep: str) ->
     """The columns ``keep``, ``_m_tokens`` (words between single spaces, the unit of weight) and
     ``_m_bins``, one bin number a feature.
 
-    Only expressions that read a text once, without copies of it: patterns and searches.
+    In steps, so that the lower-cased and the split text are made once a row.
     """
     parts = docs.select(
         *keep,
         _text().alias("_m_text"),
-        F.size(F.split(_text(), " ")).alias("_m_parts"),
+        F.lower(_text()).alias("_m_lower"),
+        F.split(_text(), " ").alias("_m_parts"),
     )
     text, size = F.col("_m_text"), F.greatest(F.length("_m_text"), F.lit(1))
 
@@ -90,14 +92,15 @@ def measure(docs: DataFrame, words: tuple[tuple[str, ...], ...], *keep: str) ->
     values = [
         (share(SIGNS), SHARES),
         (share(UPPER), SHARES),
-        (F.regexp_count(text, F.lit(RUNS)) / F.col("_m_parts"), SHARES),
+        (F.regexp_count(text, F.lit(RUNS)) / F.size("_m_parts"), SHARES),
         (F.length(text).cast("double"), (200.0, 1000.0, 5000.0, 20000.0)),
+        (F.size(F.array_distinct("_m_parts")) / F.size("_m_parts"), RATIOS),
     ]
     for group in words:
         if group:
-            hits = [F.contains(text, F.lit(w)).cast("int") for w in group]
+            hits = [F.contains(F.col("_m_lower"), F.lit(w)).cast("int") for w in group]
             values.append((reduce(lambda a, b: a + b, hits).cast("double"), HITS))
-    tokens = F.when(F.length(text) == 0, 0).otherwise(F.col("_m_parts")).cast("bigint")
+    tokens = F.when(F.length(text) == 0, 0).otherwise(F.size("_m_parts")).cast("bigint")
     valued = parts.select(
         *keep, tokens.alias("_m_tokens"), *[v.alias(f"_m_{i}") for i, (v, _) in enumerate(values)]
     )
@@ -119,7 +122,7 @@ def fit_measured(
     known = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "domain").distinct()
     sample = settle(hash_sample(known, settings.sample, "doc_id"), "mix-sample")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    spoken = chosen.select("domain", F.explode(F.array_distinct(F.split(_text(), r"[^\p{L}]+"))).alias("w"))
+    spoken = chosen.select("domain", F.explode(F.array_distinct(F.split(F.lower(_text()), r"[^\p{L}]+"))).alias("w"))
     by_word = spoken.where(F.length("w") > 2).groupBy("w", "domain").agg(F.count(F.lit(1)).alias("n"))
     by_word = settle(by_word, "mix-words")
     sizes = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -141,7 +144,7 @@ def fit_measured(
     binned = measured.join(known, "doc_id")
     counted = binned.select("domain", F.posexplode("_m_bins").alias("f", "b")).groupBy("domain", "f", "b")
     counts = {(r.domain, r.f, r.b): r.n for r in counted.agg(F.count(F.lit(1)).alias("n")).collect()}
-    lengths = [len(SHARES), len(SHARES), len(SHARES), 4, *[len(HITS) for g in words if g]]
+    lengths = [len(SHARES), len(SHARES), len(SHARES), 4, len(RATIOS), *[len(HITS) for g in words if g]]
     mass = [sum(n for (d, f, _), n in counts.items() if d == domain and f == 0) for domain in domains]
     likelihood = tuple(
         tuple(

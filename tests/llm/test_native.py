@@ -149,6 +149,16 @@ def test_soft_posteriors_meet_targets_and_compromise(spark):
     assert abs(low - 0.01) <= 1e-5
 
 
+def test_shouted_words_and_repeated_phrases_are_seen(spark, corpus):
+    shouted = corpus.withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.upper("text")).otherwise(F.col("text")))
+    assert "vermin" in mixing.fit(shouted, shouted.select("doc_id", "domain")).words[2]
+    rows = [(1, "a horrible day"), (2, "a HORRIBLE day"), (3, "one two " * 20), (4, " ".join(f"w{i:02}" for i in range(40)) + " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bins = {r.doc_id: r._m_bins for r in mixing.measure(docs, (("horrible",),), "doc_id").collect()}
+    assert bins[1][-1] == bins[2][-1] == 1 and bins[3][-1] == 0
+    assert bins[3][2] == bins[4][2] == 0 and bins[3][4] < bins[4][4]
+
+
 def test_infeasible_targets_end(spark, corpus):
     model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
     weighted = mixing.weigh(corpus.where("domain = 'clean'"), model)
