@@ -18,6 +18,8 @@ from tallyspark.llm import (
     quality,
     repeats,
     sharding,
+    token_alignment,
+    topk_search,
 )
 from tallyspark.sources.workspace import work_path
 
@@ -158,6 +160,40 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align(docs, tokenizer_file(), piece_file())
+
+
+def op12_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_domain_mix": op2_domain_mix,
@@ -169,5 +205,7 @@ QUERIES: dict[str, Query] = {
     "op8_boosted_pii": op8_boosted_pii,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_byte_shards": op10_byte_shards,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_block_topk": op12_block_topk,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op12_block_topk": OP12_SQL}
