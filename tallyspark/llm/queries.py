@@ -11,6 +11,7 @@ from tallyspark.llm import (
     chat,
     compression,
     decontaminate,
+    divergence,
     mixing,
     orc_tokens,
     pii,
@@ -194,6 +195,49 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+def op13_quadtree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), grp AS (SELECT DISTINCT lang, source FROM d),
+occ AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+voc AS (SELECT l.lang, count(k.term) AS V FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k USING (lang) GROUP BY l.lang),
+cnt AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM occ o JOIN kept k USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS N FROM grp g LEFT JOIN cnt c USING (lang, source) GROUP BY ALL),
+gp AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (CAST(1000000000 AS BIGINT) * (coalesce(c.c, 0) + 1)) // (n.N + voc.V) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN n USING (lang, source) JOIN voc USING (lang)
+  LEFT JOIN cnt c USING (lang, source, term)
+), lp AS (
+  SELECT k.lang, k.term, 1 + (CAST(1000000000 AS BIGINT) * (coalesce(s.c, 0) + 1)) // (t.N + voc.V) AS q
+  FROM kept k JOIN voc USING (lang) JOIN (SELECT lang, sum(N) AS N FROM n GROUP BY lang) t USING (lang)
+  LEFT JOIN (SELECT lang, term, sum(c) AS c FROM cnt GROUP BY ALL) s USING (lang, term)
+), pair_sum AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair_sum s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT g.lang, g.source, 'term' AS part, g.term AS item, CAST((g.p - l.q) * (g.p - l.q) // l.q AS BIGINT) AS value
+  FROM gp g JOIN lp l USING (lang, term) WHERE g.c > 0 AND g.p > l.q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_domain_mix": op2_domain_mix,
@@ -207,5 +251,6 @@ QUERIES: dict[str, Query] = {
     "op10_byte_shards": op10_byte_shards,
     "op11_token_alignment": op11_token_alignment,
     "op12_block_topk": op12_block_topk,
+    "op13_quadtree_divergence": op13_quadtree_divergence,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op12_block_topk": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op12_block_topk": OP12_SQL, "op13_quadtree_divergence": OP13_SQL}
