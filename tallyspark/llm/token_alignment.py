@@ -37,6 +37,8 @@ from tallyspark.sources.workspace import settle
 #: Distinct id pairs up to which counts are broadcast to the links; beyond, a salted join.
 BROADCAST_PAIRS = 4_000_000
 SALTS = 16
+#: Text bytes tokenized and aligned at once in a Python worker.
+SLICE_BYTES = 1 << 20
 
 TOKENS = (
     "_row long, doc_id long, n_a long, n_b long, n_groups long, groups string, "
@@ -161,10 +163,27 @@ def _groups_text(sides: _Sides, a: pd.DataFrame, b: pd.DataFrame, cuts: np.ndarr
     return group_end, out.tobytes()
 
 
-def _align(a_file: str, b_file: str):
+def _slices(batches, limit: int):
+    """Arrow batches cut into runs of rows whose texts hold at most ``limit`` bytes (a longer
+    text is a run of its own), so a worker's memory follows ``limit``, not the batch size."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        at, total = 0, 0
+        for i, size in enumerate(sizes):
+            if i > at and total + size > limit:
+                yield batch.slice(at, i - at)
+                at, total = i, 0
+            total += int(size)
+        if at < len(sizes):
+            yield batch.slice(at)
+
+
+def _align(a_file: str, b_file: str, slice_bytes: int):
     def run(batches):
         sides = _sides(a_file, b_file)
-        for batch in batches:
+        for batch in _slices(batches, slice_bytes):
             texts = [t if t is not None else "" for t in batch.column("text").to_pylist()]
             rows = len(texts)
             spaced = [" " + t for t in texts]
@@ -225,7 +244,7 @@ def tokens(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
-    return settle(rows.mapInArrow(_align(a_file, b_file), TOKENS), "token-alignment")
+    return settle(rows.mapInArrow(_align(a_file, b_file, SLICE_BYTES), TOKENS), "token-alignment")
 
 
 def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
