@@ -3,11 +3,12 @@
 A naive Bayes classifier learned from a labelled table gives every document a posterior for
 each domain. Its inputs are counts of learned words and shares of sign classes, in bins. Then
 every document gets a rate >= 0, its expected number of copies, so that the expected tokens of
-each domain match the targets: projected gradient least squares, started from 1 for all. Where
-its steps get slow, Newton's method on the dual problem finds the last step, which brings the
-residuals within tolerance or, where targets cannot be met, to the least-squares compromise. A
-step needs the expected tokens of each domain, a sum over all documents; a document's rate
-follows from its own posterior and the steps so far, so no rates are stored between steps.
+each domain match the targets: least squares on the box [0, upper] by projected gradient with
+momentum, started from 1 for all. A domain asked for more than it holds is asked for what it
+holds, so the fit is of what will really be kept; where targets still cannot be met together
+the result is the least-squares compromise, and the fit says so. A step needs the expected
+tokens of each domain, a sum over the distinct posteriors; a document's rate follows from its
+own posterior and the steps so far, so no rates are stored between steps.
 
 Bounded by parameters: words are learned from at most ``sample`` labelled documents, ``words``
 a domain; bins and steps are few. Everything else covers all rows.
@@ -21,17 +22,19 @@ gives no rows; other columns pass through ``mix``.
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.sampling import hash_sample
 from tallyspark.sources.workspace import settle
 
+log = logging.getLogger(__name__)
+
 #: Upper ends of bins; a value above all of them is in the last bin.
 SHARES = (0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
 RATIOS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -48,10 +51,9 @@ class Settings:
     words: int = 16
     least_documents: int = 5
     least_log_odds: float = 3.0
-    steps: int = 20
-    tolerance: float = 1e-5
-    slow: float = 0.5
-    weight: float = 1e-7
+    steps: int = 400
+    stall: int = 30
+    tolerance: float = 1e-2
 
 
 @dataclass(frozen=True)
@@ -182,122 +184,123 @@ def _softmax(scores: Column) -> Column:
     )[0]
 
 
-def rates(probabilities: Column, steps: list[list[float]]) -> Column:
-    """The rate after ``steps``, each the scaled residual of every domain."""
-    if not steps:
-        return F.lit(1.0)
+@dataclass(frozen=True)
+class Fit:
+    """Steps of the projected gradient, and what they reach.
+
+    ``steps``: per step the momentum and the scaled gradient of each domain; ``upper``: the
+    rate's upper end. ``wanted``: expected tokens of each domain (share of all tokens), the
+    targets times the budget; ``reachable``: the least of wanted and what the domain holds at
+    rate ``upper``; ``reached``: what the rates give; ``converged``: all within tolerance of
+    ``reachable`` (relative), else the least-squares compromise on the box.
+    """
+
+    steps: tuple[tuple[float, ...], ...]
+    upper: float
+    wanted: tuple[float, ...] = ()
+    reachable: tuple[float, ...] = ()
+    reached: tuple[float, ...] = ()
+    converged: bool = True
 
-    def rate(chances: Column) -> Column:
-        def move(rate: Column, step: Column) -> Column:
-            pulls = F.zip_with(chances, step, lambda p, g: p * g)
-            pull = F.aggregate(pulls, F.lit(0.0), lambda a, b: a + b)
-            return F.greatest(F.lit(0.0), rate - pull)
 
-        return F.aggregate(F.lit(steps), F.lit(1.0), move)
+def _state(chances: Column, fit: Fit) -> Column:
+    """(r, prev): the rate after all steps and the one before; a step is
+    r' = clip(y - p . g, 0, upper) at y = r + beta * (r - prev)."""
+    start = min(1.0, fit.upper)
+    init = F.struct(F.lit(start).alias("r"), F.lit(start).alias("prev"))
+    if not fit.steps:
+        return init
 
-    # Bound to a variable, so that the posterior is worked out once a row and not once a step.
-    return F.transform(F.array(probabilities), rate)[0]
+    def move(acc: Column, step: Column) -> Column:
+        y = acc["r"] + F.element_at(step, 1) * (acc["r"] - acc["prev"])
+        pulls = F.zip_with(chances, F.slice(step, 2, F.size(step) - 1), lambda p, g: p * g)
+        pull = F.aggregate(pulls, F.lit(0.0), lambda a, b: a + b)
+        new = F.least(F.lit(fit.upper), F.greatest(F.lit(0.0), y - pull))
+        return F.struct(new.alias("r"), acc["r"].alias("prev"))
 
+    return F.aggregate(F.lit([list(x) for x in fit.steps]), init, move)
 
-def fit_rates(weighted: DataFrame, targets: list[float], budget: float, settings: Settings = Settings()) -> list[list[float]]:
-    """Steps that bring the rates of ``weighted`` (tokens, p) to the targets.
 
-    ``targets``: the share of each domain; ``budget``: expected tokens, as a multiple of all
-    tokens. Residuals are scaled by the domain's expected tokens at rate 1, which bounds the
-    step's largest eigenvalue by 1, so a step length of 1 never overshoots. Ends when all
-    residuals are within ``tolerance``. When a step leaves more than a share ``slow`` of the
-    largest, or at the last but one, the last step is found by ``_last_step``.
+def rates(probabilities: Column, fit: Fit) -> Column:
+    """The rate of a document with these domain probabilities after the fitted steps."""
+    # Bound to a variable, so that the posterior is worked out once a row and not once a step.
+    return F.transform(F.array(probabilities), lambda c: _state(c, fit)["r"])[0]
+
+
+def fit_rates(
+    weighted: DataFrame, targets: list[float], budget: float, upper: float = 1.0, settings: Settings = Settings()
+) -> Fit:
+    """Rates in [0, ``upper``] whose expected tokens of each domain meet the reachable targets.
+
+    ``weighted``: tokens and p. ``targets``: the share of each domain; ``budget``: expected tokens,
+    as a multiple of all tokens. A domain that holds less than it is asked for at rate ``upper``
+    is asked for what it holds. Least squares of residuals, each divided by the larger of its
+    target and the domain's sum of tau * p^2 (so every term's curvature is at most 1 and no rare
+    domain dwarfs the rest), minimised by projected gradient on the box with a step length for
+    each domain's direction and Nesterov momentum, restarted when the objective rises. Each step is one pass over the distinct posteriors.
+    Ends when every residual is within ``tolerance`` of its target (relative), when the
+    objective stops falling, or after ``steps`` steps; the last two are logged as not met.
     """
     domains = range(len(targets))
     # Equal posteriors have equal rates: a step reads a row for each combination of bins seen.
     weighted = settle(weighted.groupBy("p").agg(F.sum("tokens").alias("tokens")), "mix-groups")
+    first = weighted.agg(
+        F.sum("tokens").alias("all"),
+        *[F.sum(F.col("tokens") * F.col("p")[d]).alias(f"m{d}") for d in domains],
+        *[F.sum(F.col("tokens") * F.col("p")[d] * F.col("p")[d]).alias(f"q{d}") for d in domains],
+    ).first()
+    if not first["all"]:
+        return Fit((), upper)
+    total = float(first["all"])
+    held = [upper * (first[f"m{d}"] or 0.0) / total for d in domains]
+    square = [(first[f"q{d}"] or 0.0) / total for d in domains]
     scale = sum(targets) or 1.0
     wanted = [budget * t / scale for t in targets]
-    steps: list[list[float]] = []
-    mass: list[float] | None = None
-    before = float("inf")
+    goal = [min(w, h) for w, h in zip(wanted, held, strict=True)]
+    weight = [1.0 / max(g, q, 1e-12) for g, q in zip(goal, square, strict=True)]
+    # A length for each domain's direction: the inverse of its term's curvature in the metric of
+    # tokens, shared among the domains so that their sum cannot overshoot.
+    lengths = [1.0 / (2.0 * len(targets) * w * max(q, 1e-300)) for w, q in zip(weight, square, strict=True)]
+    steps: list[tuple[float, ...]] = []
+    best, best_at, k, beta = float("inf"), 0, 0, 0.0
+    converged = False
     while True:
-        rated = weighted.select("tokens", "p", rates(F.col("p"), steps).alias("r"))
-        sums = rated.agg(
-            F.sum("tokens").alias("all"),
-            *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[d]).alias(f"d{d}") for d in domains],
-        ).first()
-        if not sums["all"]:
-            return []
-        have = [(sums[f"d{d}"] or 0.0) / sums["all"] for d in domains]
-        mass = mass or have
-        residual = [h - w for h, w in zip(have, wanted, strict=True)]
-        most = max((abs(e) for e, m in zip(residual, mass, strict=True) if m > 1e-12), default=0.0)
-        if most <= settings.tolerance:
-            return steps
-        if most > settings.slow * before or len(steps) + 1 >= settings.steps:
-            return [*steps, _last_step(rated, sums["all"], wanted, mass, settings)]
-        before = most
-        steps.append([e / m if m > 1e-12 else 0.0 for e, m in zip(residual, mass, strict=True)])
-
-
-def _last_step(rated: DataFrame, total: float, wanted: list[float], mass: list[float], settings: Settings) -> list[float]:
-    """The step to the rates nearest to those of ``rated`` (tokens, p, r) with least residuals.
-
-    The least of residuals squared / mass + ``weight`` * (change of rates) squared lies at rates
-    max(0, r - p . step), where step minimises a smooth convex function of one number a domain.
-    Newton's method with backtracking; each try is one pass over the groups.
-    """
-    able = [d for d, m in enumerate(mass) if m > 1e-12]
-    m, goal = np.array([mass[d] for d in able]), np.array([wanted[d] for d in able])
-    rated = settle(rated, "mix-rated")
-
-    def tried(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        full = [0.0] * len(mass)
-        for d, g in zip(able, step.tolist(), strict=True):
-            full[d] = g
-        pull = reduce(lambda a, b: a + b, [F.col("p")[d] * g for d, g in enumerate(full)])
-        rate = F.greatest(F.lit(0.0), F.col("r") - pull)
-        chances = rated.select(*[F.col("p")[d].alias(f"p{d}") for d in able], F.col("tokens") / total, rate).toDF(
-            *[f"p{d}" for d in able], "t", "r"
+        fit = Fit(tuple(steps), upper)
+        state = F.transform(F.array("p"), lambda c: _state(c, fit))[0]
+        at = weighted.select("tokens", "p", state.alias("s")).select(
+            "tokens", "p", F.col("s.r").alias("r"), (F.col("s.r") + beta * (F.col("s.r") - F.col("s.prev"))).alias("y")
         )
-        live = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
-        pairs = [(i, j) for i in range(len(able)) for j in range(i + 1)]
-        sums = chances.agg(
-            F.sum(F.col("t") * F.col("r") * F.col("r") / 2),
-            *[F.sum(F.col("t") * F.col("r") * F.col(f"p{d}")) for d in able],
-            *[F.sum(live * F.col(f"p{able[i]}") * F.col(f"p{able[j]}")) for i, j in pairs],
+        sums = at.agg(
+            *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[d]).alias(f"r{d}") for d in domains],
+            *[F.sum(F.col("tokens") * F.col("y") * F.col("p")[d]).alias(f"y{d}") for d in domains],
         ).first()
-        curve = np.diag(settings.weight * m)
-        for (i, j), value in zip(pairs, sums[1 + len(able) :], strict=True):
-            curve[i, j] += value
-            curve[j, i] += value if i != j else 0.0
-        slope = settings.weight * m * step - np.array(sums[1 : 1 + len(able)]) + goal
-        return settings.weight / 2 * step @ (m * step) + sums[0] + step @ goal, slope, curve
-
-    step = np.zeros(len(able))
-    value, slope, curve = tried(step)
-    while True:
-        # The residual but for the part that the weight explains.
-        if np.abs(slope).max() <= settings.tolerance / 10:
+        reached = [(sums[f"r{d}"] or 0.0) / total for d in domains]
+        at_y = [(sums[f"y{d}"] or 0.0) / total for d in domains]
+        value = sum(w * (e - g) ** 2 for w, e, g in zip(weight, reached, goal, strict=True))
+        off = max((abs(e - g) / g if g > 0 else e for e, g in zip(reached, goal, strict=True)), default=0.0)
+        if off <= settings.tolerance:
+            converged = True
             break
-        move = np.linalg.solve(curve, -slope)
-        length, better = 1.0, None
-        while length > 1e-6:
-            better = tried(step + length * move)
-            if better[0] <= value + 1e-4 * length * (slope @ move):
-                break
-            length, better = length / 2, None
-        if better is None:
+        if value < best * (1 - 1e-9):
+            best, best_at = value, len(steps)
+        if len(steps) - best_at >= settings.stall or len(steps) >= settings.steps:
             break
-        step = step + length * move
-        value, slope, curve = better
-    out = [0.0] * len(mass)
-    for d, g in zip(able, step.tolist(), strict=True):
-        out[d] = g
-    return out
-
-
-def copies(rate: Column, at_most: int | None = None) -> Column:
+        if value > best and beta > 0:
+            k, beta = 0, 0.0  # restart: the momentum overshot
+            continue
+        gradient = [n * 2 * w * (e - g) for n, w, e, g in zip(lengths, weight, at_y, goal, strict=True)]
+        steps.append((beta, *gradient))
+        k += 1
+        beta = (k - 1) / (k + 2)
+    if not converged:
+        log.warning("mixing: targets not met after %d steps; reachable %s, reached %s", len(steps), goal, reached)
+    return Fit(tuple(steps), upper, tuple(wanted), tuple(goal), tuple(reached), converged)
+
+
+def copies(rate: Column) -> Column:
     """Whole copies whose expectation is the rate, settled by a hash of the id."""
     luck = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    whole = F.floor(rate + luck)
-    return F.least(whole, F.lit(at_most)) if at_most is not None else whole
+    return F.floor(rate + luck)
 
 
 def weigh(docs: DataFrame, model: Model, measured: DataFrame | None = None) -> DataFrame:
@@ -312,18 +315,23 @@ def mix(
     model: Model,
     targets: dict[str, float],
     budget: float,
-    at_most: int = 1,
+    upper: float = 1.0,
     settings: Settings = Settings(),
     measured: DataFrame | None = None,
 ) -> DataFrame:
-    """The documents, each as often as its rate settles on, ``at_most`` times; no shuffle of texts."""
+    """The documents, each as often as its rate settles on (at most ``ceil(upper)`` times); no
+    shuffle of texts. The fit is kept as ``mixed.fit``. All input columns come back as they were,
+    whatever their names: they travel as one struct beside ``doc_id`` and ``text``."""
     weighted = weigh(docs, model, measured)
-    steps = fit_rates(weighted, [targets.get(d, 0.0) for d in model.domains], budget, settings)
-    seen = measure(docs, model.words, *docs.columns)
-    rated = seen.withColumn("_m_copies", copies(rates(posteriors(model), steps), at_most))
+    fit = fit_rates(weighted, [targets.get(d, 0.0) for d in model.domains], budget, upper, settings)
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_m_row"), docs["doc_id"], docs["text"])
+    seen = measure(row, model.words, "_m_row", "doc_id")
+    rated = seen.withColumn("_m_copies", copies(rates(posteriors(model), fit)))
     # Exploded, not filtered: a filter would be pushed below and repeat the work on the text for every bin.
     again = F.explode(F.array_repeat(F.lit(1), F.col("_m_copies").cast("int")))
-    return rated.withColumn("_m_copy", again).select(*docs.columns)
+    mixed = rated.withColumn("_m_copy", again).select("_m_row.*")
+    mixed.fit = fit
+    return mixed
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -71,14 +71,16 @@ FROM linked GROUP BY conv_id
 
 #: Expected tokens of each domain: hardly any abusive or low text.
 TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+#: Most expected copies of one document in op2_domain_mix.
+MIX_UPPER = 4.0
 
 
 def op2_domain_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model, measured = mixing.fit_measured(docs, mixing.label_domains(labels))
     weighted = mixing.weigh(docs, model, measured)
-    steps = mixing.fit_rates(weighted, [TARGETS.get(d, 0.0) for d in model.domains], 1.0)
-    rated = weighted.withColumn("rate", mixing.rates(F.col("p"), steps))
+    fit = mixing.fit_rates(weighted, [TARGETS.get(d, 0.0) for d in model.domains], 1.0, upper=MIX_UPPER)
+    rated = weighted.withColumn("rate", mixing.rates(F.col("p"), fit))
     chances = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return rated.select("doc_id", "tokens", *chances, "rate", mixing.copies(F.col("rate")).alias("copies"))
 

@@ -116,37 +116,76 @@ def test_posteriors_and_rates_meet_targets(spark, corpus):
     assert all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
     assert np.mean([model.domains[int(np.argmax(r.p))] == r.domain for r in rows]) > 0.97
     targets = [0.6, 0.25, 0.15]
-    steps = mixing.fit_rates(weighted, targets, 1.0)
-    found = weighted.withColumn("rate", mixing.rates(F.col("p"), steps)).collect()
+    fit = mixing.fit_rates(weighted, targets, 1.0, upper=3.0)
+    found = weighted.withColumn("rate", mixing.rates(F.col("p"), fit)).collect()
     tau = np.array([r.tokens for r in found]) / sum(r.tokens for r in found)
     p, rate = np.array([r.p for r in found]), np.array([r.rate for r in found])
-    assert (rate >= 0).all()
-    np.testing.assert_allclose((tau * rate) @ p, targets, atol=1e-4)
+    assert fit.converged and ((rate >= 0) & (rate <= 3.0)).all()
+    np.testing.assert_allclose((tau * rate) @ p, targets, rtol=1e-2)
     # The same steps in numpy.
-    own, mass = np.ones(len(p)), tau @ p
-    for _ in steps:
-        own = np.maximum(0, own - p @ (((tau * own) @ p - targets) / mass))
-    np.testing.assert_allclose(rate, own, atol=1e-6)
+    own = prev = np.ones(len(p))
+    for beta, *g in fit.steps:
+        own, prev = np.clip(own + beta * (own - prev) - p @ np.array(g), 0, 3.0), own
+    np.testing.assert_allclose(rate, own, atol=1e-9)
 
 
-def test_soft_posteriors_meet_targets_and_compromise(spark):
+def _box_optimal(tau, p, rate, goal, upper):
+    """No rate can move inside [0, upper] for the better (projected gradient near zero)."""
+    reached = (tau * rate) @ p
+    weight = 1 / np.maximum(goal, (tau[:, None] * p * p).sum(0))
+    slope = p @ (weight * (reached - goal))
+    free = np.where(rate <= 1e-9, np.minimum(slope, 0), np.where(rate >= upper - 1e-9, np.maximum(slope, 0), slope))
+    return np.abs(free).max() <= 0.05 * max(1.0, np.abs(slope).max())
+
+
+def test_soft_posteriors_meet_targets_or_rest_on_the_box(spark):
     soft = [(0.995, 0.004, 0.001), (0.6, 0.4, 0.0), (0.05, 0.9, 0.05), (0.1, 0.1, 0.8)]
     softer = [(0.9, 0.06, 0.04), (0.6, 0.4, 0.0), (0.3, 0.6, 0.1), (0.2, 0.1, 0.7), (0.999, 0.0005, 0.0005)]
     for chances, tokens in ((soft, (70, 15, 10, 5)), (softer, (60, 15, 10, 5, 10))):
-        p, tau = np.array(chances), np.array(tokens) / 100
+        p, tau = np.array(chances), np.array(tokens) / sum(tokens)
         weighted = spark.createDataFrame([(t, list(c)) for t, c in zip(tokens, chances, strict=True)], "tokens bigint, p array<double>")
-        for targets in ([0.97, 0.01, 0.02], [0.2, 0.2, 0.6], [0.0, 0.9999, 0.0001]):
-            steps = mixing.fit_rates(weighted, targets, 1.0)
-            rate = dict((tuple(r.p), r.rate) for r in weighted.withColumn("rate", mixing.rates(F.col("p"), steps)).collect())
+        for targets, budget in (([0.97, 0.01, 0.02], 1.0), ([0.2, 0.2, 0.6], 0.5)):
+            fit = mixing.fit_rates(weighted, targets, budget, upper=1.0)
+            rate = dict((tuple(r.p), r.rate) for r in weighted.withColumn("rate", mixing.rates(F.col("p"), fit)).collect())
             rate = np.array([rate[c] for c in chances])
-            residual = (tau * rate) @ p - targets
-            # Met, or no rate can be moved for the better.
-            pull = p @ (residual / (tau @ p))
-            assert np.abs(residual).max() <= 1e-5 or (np.where(rate > 1e-9, np.abs(pull), -pull).max() <= 1e-3), (targets, rate, residual)
-    weighted = spark.createDataFrame([(t, list(c)) for t, c in zip((70, 15, 10, 5), soft, strict=True)], "tokens bigint, p array<double>")
-    rated = weighted.withColumn("rate", mixing.rates(F.col("p"), mixing.fit_rates(weighted, [0.97, 0.01, 0.02], 1.0)))
-    low = rated.select(F.sum(F.col("tokens") * F.col("rate") * F.col("p")[1]) / 100).first()[0]
-    assert abs(low - 0.01) <= 1e-5
+            goal = np.minimum(np.array(targets) * budget, tau @ p)
+            np.testing.assert_allclose(fit.reachable, goal, rtol=1e-9)
+            reached = (tau * rate) @ p
+            met = np.all(np.abs(reached - goal) <= 1e-2 * np.maximum(goal, 1e-300) + (goal == 0) * 1e-2)
+            assert fit.converged == met
+            assert met or _box_optimal(tau, p, rate, goal, 1.0), (targets, rate, reached, goal)
+
+
+def test_scarce_domain_keeps_the_rest(spark):
+    """Mean p_low of 1e-2 and 1e-5: rates stay on [0, 1], each reachable target is met within
+    5 % of itself, and the share of documents kept does not fall with the scarcity."""
+    rng = np.random.default_rng(11)
+    for scarce in (1e-2, 1e-5):
+        n = 3000
+        low = rng.exponential(scarce, n).clip(0, 0.5)
+        toxic = rng.exponential(0.02, n).clip(0, 0.5)
+        p = np.stack([1 - low - toxic, low, toxic], axis=1)
+        tokens = rng.integers(50, 2000, n)
+        rows = [(int(t), [float(x) for x in c]) for t, c in zip(tokens, p, strict=True)]
+        weighted = spark.createDataFrame(rows, "tokens bigint, p array<double>")
+        fit = mixing.fit_rates(weighted, [0.97, 0.01, 0.02], 1.0, upper=1.0)
+        rate = np.array([r.rate for r in weighted.withColumn("rate", mixing.rates(F.col("p"), fit)).collect()])
+        order = [tuple(r.p) for r in weighted.collect()]
+        by = {tuple(c): i for i, c in enumerate(p.tolist())}
+        tau = tokens[[by[c] for c in order]] / tokens.sum()
+        pp = p[[by[c] for c in order]]
+        reached = (tau * rate) @ pp
+        goal = np.array(fit.reachable)
+        assert ((rate >= 0) & (rate <= 1)).all()
+        assert np.all(np.abs(reached - goal) <= 0.05 * goal), (scarce, reached, goal)
+        assert (rate > 0.5).mean() > 0.9, scarce
+
+
+def test_infeasible_targets_end(spark, corpus):
+    model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
+    weighted = mixing.weigh(corpus.where("domain = 'clean'"), model)
+    fit = mixing.fit_rates(weighted, [0.0, 0.0, 1.0], 1.0)
+    assert len(fit.steps) <= mixing.Settings().steps and len(fit.reached) == 3
 
 
 def test_shouted_words_and_repeated_phrases_are_seen(spark, corpus):
@@ -159,22 +198,19 @@ def test_shouted_words_and_repeated_phrases_are_seen(spark, corpus):
     assert bins[3][2] == bins[4][2] == 0 and bins[3][4] < bins[4][4]
 
 
-def test_infeasible_targets_end(spark, corpus):
-    model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
-    weighted = mixing.weigh(corpus.where("domain = 'clean'"), model)
-    assert len(mixing.fit_rates(weighted, [0.0, 0.0, 1.0], 1.0)) <= mixing.Settings().steps
-
-
 def test_mix_keeps_clean_rows_and_edges(spark, corpus):
     model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
     kept = mixing.mix(corpus, model, {"clean": 0.97, "low": 0.01, "toxic": 0.02}, 1.5)
-    assert kept.columns == corpus.columns
+    assert kept.columns == corpus.columns and kept.fit.converged
     clean = {r.doc_id for r in corpus.where("domain = 'clean'").collect()}
     ids = [r.doc_id for r in kept.collect()]
     assert clean <= set(ids) and len(ids) == len(set(ids)) and len(ids) < 285
     odd = spark.createDataFrame([(1, None, "a", None), (1, "", "a", None), (None, "x y", None, None)], corpus.schema)
     assert mixing.weigh(odd, model).where("tokens >= 0").count() == 3
     assert mixing.mix(corpus.limit(0), model, {"clean": 1.0}, 1.0).count() == 0
+    clash = corpus.withColumns({"_m_lower": F.lit(1), "_m_row": F.lit("x"), "_m_copies": F.lit(2.0)})
+    mixed = mixing.mix(clash, model, {"clean": 0.97, "low": 0.01, "toxic": 0.02}, 1.5)
+    assert mixed.columns == clash.columns and mixed.where("_m_row = 'x' AND _m_lower = 1").count() == mixed.count() > 0
     blank = mixing.fit(corpus, corpus.select("doc_id", "domain").limit(0))
     assert mixing.weigh(corpus, blank).count() == 300
 
