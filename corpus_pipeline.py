@@ -16,9 +16,9 @@ from tallyspark.llm import decontaminate, mixing, orc_tokens, probminhash, quali
 from tallyspark.llm.queries import TARGETS, table, tokenizer_file
 from tallyspark.sources.workspace import settle, work_path
 
-#: Expected tokens after mixing, as a multiple of those before. Above 1, a document that is
-#: surely clean has a rate above 1, so it is kept once; only others are thinned out.
-BUDGET = 1.5
+#: Expected tokens after mixing, as a multiple of those before; each document is kept at most
+#: once (rates on [0, 1]), and a domain that holds less than its share keeps all it holds.
+BUDGET = 1.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents thinned out by domain, each at most once."""
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
     model, measured = mixing.fit_measured(docs, mixing.label_domains(labels))
-    return mixing.mix(docs, model, TARGETS, BUDGET, measured=measured)
+    return mixing.mix(docs, model, TARGETS, BUDGET, upper=1.0, measured=measured)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
