@@ -93,7 +93,9 @@ def _terms(docs: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, min_docs: int = 3, top_terms: int = 200) -> DataFrame:
     """``RESULT`` rows: part ``pair`` for every ordered pair of sources of a lang, part ``term``
     for the terms that a source holds more than its lang, up to rank ``top_terms``."""
-    read = settle(_terms(docs), "divergence-terms")
+    # Not written: the terms of all texts are as large as the texts; the two scans that read them
+    # (document frequencies and counts) each reduce them at once.
+    read = _terms(docs)
     groups = read.select("lang", "source").distinct()
     df = read.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").count()
     kept = df.where(F.col("count") >= min_docs).select("lang", "term")
