@@ -4,6 +4,10 @@ Users are a column and not a partition: a million users would mean a million sma
 day. Next to a dataset lies the list of users of each of its days, so that listings and
 searches for a user read those and no data.
 
+A day is two writes (its data, then its list of users). An empty marker file, written after
+both and removed before a rerun or a drop touches either, makes the day visible: readers see
+only marked days, so a crash or a reader between the writes sees the previous state.
+
 Folders are listed and deleted through Hadoop's file systems, which a Spark Connect session
 does not offer.
 """
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 EARLIEST = dt.date(2019, 1, 1)
 # Folder of the user lists, beside the datasets.
 USERS_OF = "users_of"
+# Folder of the markers of committed days, beside the datasets.
+COMMITTED = "_committed"
 LISTING = "dataset STRING, user STRING, snapshot_date DATE"
 
 
@@ -34,8 +40,10 @@ def write_snapshot(
 
     ``cluster_by`` range-partitions by those columns so that readers of one user
     skip files. A hash of the row breaks ties, so a user holding a third of the
-    rows still spreads over many tasks.
+    rows still spreads over many tasks. The day's marker is removed first and
+    written last, so the day is invisible while it is being replaced.
     """
+    _set_marker(df.sparkSession, root, dataset, date, present=False)
     if cluster_by:
         tie = F.xxhash64(*df.columns)
         df = df.repartitionByRange(*cluster_by, tie).sortWithinPartitions(*cluster_by)
@@ -43,7 +51,23 @@ def write_snapshot(
     stored = df.sparkSession.read.schema(df.withColumn("snapshot_date", F.lit(date)).schema)
     written = stored.parquet(f"{root}/{dataset}").where(F.col("snapshot_date") == F.lit(date))
     owner = F.col("user") if "user" in df.columns else F.lit(None).cast("string")
-    _write_day(written.select(owner.alias("user")).distinct(), f"{root}/{USERS_OF}/{dataset}", date)
+    users = written.select(owner.alias("user")).distinct().sortWithinPartitions("user")
+    _write_day(users, f"{root}/{USERS_OF}/{dataset}", date)
+    _set_marker(df.sparkSession, root, dataset, date, present=True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def _set_marker(spark: SparkSession, root: str, dataset: str, date: dt.date, present: bool) -> None:
+    path, fs = _hadoop_path(spark, f"{root}/{COMMITTED}/{dataset}/snapshot_date={date.isoformat()}")
+    if present:
+        fs.create(path, True).close()
+    else:
+        fs.delete(path, False)
 
 
 def _write_day(df: DataFrame, path: str, date: dt.date) -> None:
@@ -56,44 +80,50 @@ def _write_day(df: DataFrame, path: str, date: dt.date) -> None:
     )
 
 
-def _users(spark: SparkSession, root: str, dataset: str, date: dt.date) -> DataFrame:
-    path = f"{root}/{USERS_OF}/{dataset}/snapshot_date={date.isoformat()}"
-    return spark.read.schema("user STRING").parquet(path)
-
-
 def snapshot_dates(spark: SparkSession, root: str, dataset: str) -> list[dt.date]:
-    """Dates stored, oldest first, from the folder names alone."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{root}/{dataset}/snapshot_date=*")
-    found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path)
+    """Committed dates, oldest first, from the names of the markers alone."""
+    path, fs = _hadoop_path(spark, f"{root}/{COMMITTED}/{dataset}/snapshot_date=*")
+    found = fs.globStatus(path) or []
     names = [status.getPath().getName() for status in found]
     return sorted(dt.date.fromisoformat(name.split("=", 1)[1]) for name in names)
 
 
+def _committed_users(spark: SparkSession, root: str, dataset: str, dates: list[dt.date]) -> DataFrame:
+    """(user, snapshot_date) of the given committed days; the date filter prunes partitions."""
+    stored = spark.read.schema("user STRING, snapshot_date DATE").parquet(f"{root}/{USERS_OF}/{dataset}")
+    return stored.where(F.col("snapshot_date").isin(*dates))
+
+
 def latest_snapshot(
     spark: SparkSession, root: str, dataset: str, user: str | None = None
 ) -> DataFrame:
-    """The newest snapshot, or the newest that has a given user. Fails if there is none.
+    """The newest committed snapshot, or the newest that has a given user. Fails if there is none.
 
-    The newest date comes from the folder names. For a user, the lists of users are asked from
-    the newest day backwards; data of the day found is all that is read.
+    The newest date comes from the markers. For a user, one job takes the maximum date over
+    the committed lists of users; the lists are sorted by user within each file, so Parquet's
+    min/max statistics skip row groups without the user, whatever the number of days. Data of
+    the day found is all that is read.
     """
-    for date in reversed(snapshot_dates(spark, root, dataset)):
-        if date <= EARLIEST:
-            break
-        if user is None or not _users(spark, root, dataset, date).where(F.col("user") == user).isEmpty():
-            found = spark.read.parquet(f"{root}/{dataset}/snapshot_date={date.isoformat()}")
-            return found if user is None else found.where(F.col("user") == user)
-    raise ValueError(f"no dated snapshot of {dataset} for {user or 'any user'}")
+    dates = [date for date in snapshot_dates(spark, root, dataset) if date > EARLIEST]
+    newest = None
+    if dates and user is None:
+        newest = dates[-1]
+    elif dates:
+        users = _committed_users(spark, root, dataset, dates).where(F.col("user") == user)
+        newest = users.agg(F.max("snapshot_date").alias("newest")).first()["newest"]
+    if newest is None:
+        raise ValueError(f"no dated snapshot of {dataset} for {user or 'any user'}")
+    found = spark.read.parquet(f"{root}/{dataset}/snapshot_date={newest.isoformat()}")
+    return found if user is None else found.where(F.col("user") == user)
 
 
 def list_snapshots(spark: SparkSession, root: str, datasets: Iterable[str]) -> DataFrame:
-    """(dataset, user, snapshot_date) of everything stored, from the lists of users."""
+    """(dataset, user, snapshot_date) of every committed day, from the lists of users."""
     listing = None
     for dataset in datasets:
-        if snapshot_dates(spark, root, dataset):
-            stored = spark.read.schema("user STRING, snapshot_date DATE")
-            part = stored.parquet(f"{root}/{USERS_OF}/{dataset}")
+        dates = snapshot_dates(spark, root, dataset)
+        if dates:
+            part = _committed_users(spark, root, dataset, dates)
             part = part.select(F.lit(dataset).alias("dataset"), "user", "snapshot_date")
             listing = part if listing is None else listing.unionByName(part)
     return spark.createDataFrame([], LISTING) if listing is None else listing
@@ -120,13 +150,16 @@ def removable_dates(listing: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def drop_snapshots(spark: SparkSession, root: str, removable: DataFrame) -> int:
-    """Delete whole date partitions; returns how many. There is one row per dataset and day."""
-    context = spark.sparkContext
+    """Delete whole date partitions; returns how many. There is one row per dataset and day.
+
+    The marker goes first, so readers stop seeing the day before any of its files go.
+    """
     dropped = 0
     for row in removable.select("dataset", "snapshot_date").distinct().toLocalIterator():
+        _set_marker(spark, root, row.dataset, row.snapshot_date, present=False)
         day = f"{row.dataset}/snapshot_date={row.snapshot_date.isoformat()}"
         for folder in (f"{root}/{day}", f"{root}/{USERS_OF}/{day}"):
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            gone = path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = _hadoop_path(spark, folder)
+            gone = fs.delete(path, True)
         dropped += gone
     return dropped

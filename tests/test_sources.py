@@ -195,6 +195,58 @@ def test_hot_user_spreads_over_files(spark, root):
     assert stored.count() == 20000 and stored.select("x").distinct().count() == 20000
 
 
+def _stop_at_users_list(monkeypatch):
+    written = snapshots._write_day
+
+    def stop(df, path, date):
+        if f"/{snapshots.USERS_OF}/" in path:
+            raise RuntimeError("stopped between the two writes")
+        written(df, path, date)
+
+    monkeypatch.setattr(snapshots, "_write_day", stop)
+
+
+def test_day_stopped_between_its_writes_stays_invisible(spark, root, monkeypatch):
+    snapshots.write_snapshot(table(spark, ("a", 1), ("b", 1)), root, "d", DAY1)
+    _stop_at_users_list(monkeypatch)
+    with pytest.raises(RuntimeError, match="between the two writes"):
+        snapshots.write_snapshot(table(spark, ("a", 2), ("c", 2)), root, "d", DAY2)
+    assert snapshots.snapshot_dates(spark, root, "d") == [DAY1]
+    assert rows(snapshots.latest_snapshot(spark, root, "d"), "user", "x") == [("a", 1), ("b", 1)]
+    assert rows(snapshots.latest_snapshot(spark, root, "d", user="a"), "x") == [(1,)]
+    with pytest.raises(ValueError, match="no dated snapshot"):
+        snapshots.latest_snapshot(spark, root, "d", user="c")
+    assert rows(snapshots.list_snapshots(spark, root, ["d"])) == [("d", "a", DAY1), ("d", "b", DAY1)]
+    monkeypatch.undo()
+    snapshots.write_snapshot(table(spark, ("a", 2), ("c", 2)), root, "d", DAY2)
+    assert rows(snapshots.latest_snapshot(spark, root, "d", user="c"), "x") == [(2,)]
+
+
+def test_rerun_stopped_midway_hides_its_day(spark, root, monkeypatch):
+    snapshots.write_snapshot(table(spark, ("a", 1)), root, "d", DAY1)
+    snapshots.write_snapshot(table(spark, ("a", 2), ("b", 2)), root, "d", DAY2)
+    _stop_at_users_list(monkeypatch)
+    with pytest.raises(RuntimeError):
+        snapshots.write_snapshot(table(spark, ("a", 3)), root, "d", DAY2)
+    # The day's data changed but its list did not: the day is not seen until a rerun ends.
+    assert snapshots.snapshot_dates(spark, root, "d") == [DAY1]
+    assert rows(snapshots.latest_snapshot(spark, root, "d"), "x") == [(1,)]
+    monkeypatch.undo()
+    snapshots.write_snapshot(table(spark, ("a", 3)), root, "d", DAY2)
+    assert rows(snapshots.latest_snapshot(spark, root, "d"), "x") == [(3,)]
+
+
+def test_newest_day_of_a_user_over_many_days(spark, root):
+    days = [DAY1 + dt.timedelta(days=k) for k in range(12)]
+    for k, day in enumerate(days):
+        users = [("u", k), ("rare", k)] if k in (2, 7) else [("u", k)]
+        snapshots.write_snapshot(table(spark, *users), root, "d", day)
+    assert rows(snapshots.latest_snapshot(spark, root, "d", user="rare"), "x") == [(7,)]
+    assert rows(snapshots.latest_snapshot(spark, root, "d", user="u"), "x") == [(11,)]
+    with pytest.raises(ValueError, match="no dated snapshot"):
+        snapshots.latest_snapshot(spark, root, "d", user="nobody")
+
+
 def listing(spark, *data):
     return spark.createDataFrame(list(data), "dataset string, user string, snapshot_date date")
 
