@@ -100,22 +100,23 @@ def latest_attribute_values(pages: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     """First value of each attribute on its newest page.
 
     Newest is by the value's date, then the page number, which starts anew with each fetch
-    window, then the place on the page; of equals the greater value. The order is packed into
-    one long, so the first pass combines map-side in eight bytes; only winners' texts follow.
+    window, then the place on the page; of equals the greater value. The order is a struct
+    of the three, uncapped: any page number or place keeps its rank. Spark orders null fields
+    first, so a value whose date cannot be read loses to any readable one, and a NULL page
+    number to any page. Only the order and the group travel to the maximum; the winners'
+    texts follow by a semi-join on it.
     """
     first = F.get("values", F.lit(0))
-    day = F.coalesce(F.unix_date(first["date"].try_cast("date")), F.lit(-(1 << 19))).cast("bigint")
-    order = (day * (1 << 26) + F.least("page_no", F.lit((1 << 26) - 1))) * (1 << 16)
+    order = F.struct(
+        F.unix_date(first["date"].try_cast("date")).alias("day"),
+        F.col("page_no").alias("page"),
+        F.col("place"),
+    )
     found = (
         pages.select(*keys, "page_no", F.posexplode("results").alias("place", "result"))
         .select(*keys, "page_no", "place", F.col("result.label").alias("attribute"), "result.values")
         .where(F.size("values") > 0)
-        .select(
-            *keys,
-            "attribute",
-            first["value"].alias("value"),
-            (F.coalesce(order, F.lit(0)) + F.least("place", F.lit((1 << 16) - 1))).alias("rank"),
-        )
+        .select(*keys, "attribute", first["value"].alias("value"), order.alias("rank"))
     )
     group = [*keys, "attribute"]
     newest = found.groupBy(*group).agg(F.max("rank").alias("rank"))

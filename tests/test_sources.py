@@ -98,6 +98,26 @@ def test_latest_attribute_values(pages):
     assert found == [("Mood", "7"), ("Weight", None)]
 
 
+def test_latest_attribute_values_has_no_cap_on_page_or_place(spark):
+    def result(label, date, value):
+        return {"label": label, "values": [{"date": date, "value": value}]}
+
+    # Under a cap the losers below would tie with the winners and win by their greater values.
+    filler = [result("Pad", "2024-01-01", "6")] * 70_000
+    data = [
+        {"user": "a", "page_no": 1 << 26, "results": [result("Mood", "2024-03-01", "2")] * 2},
+        {"user": "a", "page_no": (1 << 26) + 1, "results": [result("Mood", "2024-03-01", "1")]},
+        {"user": "a", "page_no": 1, "results": [*filler, result("Pad", "2024-01-01", "5")]},
+        {"user": "a", "page_no": 1, "results": [result("Pad", "2024-01-01", "9")]},
+        {"user": "a", "page_no": 5, "results": [result("Odd", "bad", "8"), result("Odd", "2020-01-01", "3")]},
+        {"user": "a", "page_no": None, "results": [result("Null", "2024-01-01", "4")]},
+    ]
+    pages = spark.createDataFrame(data, landed.schemas.ATTRIBUTE_PAGES)
+    found = rows(landed.latest_attribute_values(pages), "attribute", "value")
+    # Page 2^26 + 1 beats 2^26; place 70,000 beats place 0 on the same page and date.
+    assert found == [("Mood", "1"), ("Null", "4"), ("Odd", "3"), ("Pad", "5")]
+
+
 EXPORT = """<?xml version="1.0" encoding="UTF-8"?>
 <HealthData locale="en_US">
  <Me key="x"/>
