@@ -1,6 +1,7 @@
 """Token ids as ORC: integer run-length encoding, row indexes, Bloom filters on document ids.
 
-Documents are range-partitioned and sorted by id, so file names order the files, each
+Documents are range-partitioned and sorted by id, so the task number and file counter in
+the file names (read as integers, any number of digits) order the files, each
 stripe covers a range of ids, and a look-up by id skips stripes by their minimum and
 maximum and row groups by their Bloom filter. Stripes are read in parallel.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Pieces, and words, remembered by a Python worker; the memory starts anew beyond it.
@@ -252,6 +253,16 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.orc(path).withColumn("file", F.col("_metadata.file_name"))
 
 
+def file_order(name: Column) -> list[Column]:
+    """Order of written files: task number, then file counter of the task, as integers, then
+    the name. ``part-100000-…`` follows ``part-99999-…``; names without them sort first."""
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract(name, pattern, 1).try_cast("decimal(38,0)")
+
+    return [number(r"^part-([0-9]+)-"), number(r"-c([0-9]+)[.]?[^-]*$"), name]
+
+
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
     stored = read_token_ids(spark, path)
@@ -274,7 +285,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         digest,
         f"doc_id {kind}, file string, local_start bigint, n_tokens bigint, ids_crc32 bigint",
     )
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         stored.groupBy("file")
         .agg(F.sum("n_tokens").alias("n"))

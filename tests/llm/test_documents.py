@@ -251,6 +251,29 @@ def test_orc_files(spark, tokenizer, tmp_path):
     assert not any(f.endswith(".orc") and os.path.getsize(f"{empty}/{f}") > 2000 for f in os.listdir(empty))
 
 
+def test_file_order_reads_numbers_of_any_width(spark):
+    names = [
+        "part-100000-ab12-c000.zstd.orc",
+        "part-99999-ab12-c001.zstd.orc",
+        "part-00002-ab12-c000.zstd.orc",
+        "part-99999-ab12-c000.zstd.orc",
+        "part-1000000-ab12-c000.orc",
+        "part-99999-ab12-c010.zstd.orc",
+        "odd.orc",
+    ]
+    table = spark.createDataFrame([(n,) for n in names], "file string")
+    found = [r.file for r in table.orderBy(*orc_tokens.file_order(F.col("file"))).collect()]
+    assert found == [
+        "odd.orc",
+        "part-00002-ab12-c000.zstd.orc",
+        "part-99999-ab12-c000.zstd.orc",
+        "part-99999-ab12-c001.zstd.orc",
+        "part-99999-ab12-c010.zstd.orc",
+        "part-100000-ab12-c000.zstd.orc",
+        "part-1000000-ab12-c000.orc",
+    ]
+
+
 # --- near-duplicates --------------------------------------------------------
 
 
