@@ -166,6 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
     usable = usable.select("doc_id", F.col(label).cast("int").alias("_label"))
     chosen = hash_sample(usable, settings.sample, "doc_id")
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Documents repeating an id can give more rows than the bound: the first ``sample`` by
+    # (doc_id, text digest, label) are chosen in Spark, repeated rows by their multiplicity,
+    # so the same rows are featurised on every run, whatever order tasks finish in.
+    key = ["doc_id", "_digest", "_label"]
+    known = known.withColumn("_digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    first = known.select(*key).orderBy(*key).limit(settings.sample)
+    known = known.dropDuplicates(key).join(F.broadcast(first), key)
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
                     }
                 )
 
-    rows = known.mapInPandas(terms, "label int, doc string, at binary, n binary").limit(2 * settings.sample)
-    rows = sorted(rows.collect(), key=lambda r: (r.doc, r.label, r.at, r.n))[: settings.sample]
+    rows = known.mapInPandas(terms, "label int, doc string, at binary, n binary")
+    rows = sorted(rows.collect(), key=lambda r: (r.doc, r.label, r.at, r.n))
     matrix = np.zeros((len(rows), FEATURES), dtype=np.float32)
     for i, row in enumerate(rows):
         matrix[i, np.frombuffer(row.at, "<i4")] = np.frombuffer(row.n, "<f4")
