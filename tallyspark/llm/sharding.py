@@ -7,6 +7,8 @@ partition does the rest. Only the totals, one row a partition, ever meet in one
 Edge cases: NULL keys sort first; rows of equal keys keep the order of the input scan
 and may be split over partitions and shards; a NULL size counts as 0; an empty table
 gives no rows; other columns pass through (names starting with ``_s_`` are reserved).
+Input columns named ``start``, ``shard`` or ``slot`` (in any case) are replaced by the
+results of those names.
 """
 
 from __future__ import annotations
@@ -63,12 +65,23 @@ def shard_by_bytes(
     return (
         indexed.join(first, "shard")
         .withColumn("slot", F.col("_s_index") - F.col("_s_first"))
-        .select(*rows.columns, "start", "shard", "slot")
+        .select(*_kept(rows, ("start", "shard", "slot")), "start", "shard", "slot")
     )
 
 
+def _kept(rows: DataFrame, results: Sequence[str]) -> list[str]:
+    """Input columns that pass through: all but those the results replace (any case)."""
+    replaced = {name.lower() for name in results}
+    return [name for name in rows.columns if name.lower() not in replaced]
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, text: str = "text") -> None:
-    """Whole documents as one folder a shard, in slot order inside each file."""
-    sized = docs.withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)) + 1)
-    placed = shard_by_bytes(sized, n_shards, "_size").drop("_size", "start")
+    """Whole documents as one folder a shard, in slot order inside each file.
+
+    Input columns named ``shard``, ``slot``, ``start`` or ``_s_size`` (in any case) are not
+    written; ``shard`` and ``slot`` hold the placement.
+    """
+    sized = docs.select(*_kept(docs, ("start", "shard", "slot", "_s_size")))
+    sized = sized.withColumn("_s_size", F.coalesce(F.octet_length(text), F.lit(0)) + 1)
+    placed = shard_by_bytes(sized, n_shards, "_s_size").drop("_s_size", "start")
     placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

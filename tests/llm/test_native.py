@@ -78,6 +78,20 @@ def test_written_shards(spark, tmp_path):
     assert set(back.columns) == {"doc_id", "text", "size", "shard", "slot"} and back.count() == 50
 
 
+def test_shards_replace_clashing_columns(spark, tmp_path):
+    schema = "doc_id bigint, size bigint, start string, Shard string, slot double, _size string"
+    df = spark.createDataFrame([(i, 10, "s", "old", 0.5, "keep") for i in range(8)], schema)
+    found = sharding.shard_by_bytes(df, 4)
+    assert found.columns == ["doc_id", "size", "_size", "start", "shard", "slot"]
+    got = sorted((r.doc_id, r.start, r.shard, r.slot, r._size) for r in found.collect())
+    assert got == [(i, 10 * i, i // 2, i % 2, "keep") for i in range(8)]
+    docs = spark.createDataFrame([(i, "x", "k", 9) for i in range(8)], "doc_id bigint, text string, _size string, SHARD int")
+    sharding.write_shards(docs, str(tmp_path / "c"), 4)
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert sorted(back.columns) == ["_size", "doc_id", "shard", "slot", "text"]
+    assert sorted((r.doc_id, r.shard, r._size) for r in back.collect()) == [(i, i // 2, "k") for i in range(8)]
+
+
 def test_op10_query(spark):
     from tallyspark.llm.queries import QUERIES
 
