@@ -7,8 +7,9 @@ each domain match the targets: least squares on the box [0, upper] by projected
 momentum, started from 1 for all. A domain asked for more than it holds is asked for what it
 holds, so the fit is of what will really be kept; where targets still cannot be met together
 the result is the least-squares compromise, and the fit says so. A step needs the expected
-tokens of each domain, a sum over the distinct posteriors; a document's rate follows from its
-own posterior and the steps so far, so no rates are stored between steps.
+tokens of each domain, a sum over the distinct posteriors. Their rates are written every
+``FOLD`` steps, so a step folds at most that many earlier ones; a document's rate follows from
+its own posterior and all steps, and is worked out once for each distinct posterior.
 
 Bounded by parameters: words are learned from at most ``sample`` labelled documents, ``words``
 a domain; bins and steps are few. Everything else covers all rows.
@@ -43,6 +44,10 @@ SIGNS = r"[#*$%&|<>!{}\[\]\\^~@=_]"
 #: A word three times or more in a row.
 RUNS = r"(?<!\S)(\S++)(?:\s\1){2,}(?!\S)"
 UPPER = r"[A-ZÀ-ÖØ-Þ]"
+#: Steps after which the rates of the distinct posteriors are written.
+FOLD = 20
+#: Distinct posteriors a task takes in a step.
+POSTERIORS = 50_000
 
 
 @dataclass(frozen=True)
@@ -203,28 +208,42 @@ class Fit:
     converged: bool = True
 
 
-def _state(chances: Column, fit: Fit) -> Column:
-    """(r, prev): the rate after all steps and the one before; a step is
+def _numbers(steps: list[tuple[float, ...]]) -> Column:
+    """The steps as one literal, read by Spark at once and not number by number."""
+    told = [", ".join(f"double('{float(x)!r}')" for x in step) for step in steps]
+    return F.expr("cast(array(" + ", ".join(f"array({t})" for t in told) + ") AS array<array<double>>)")
+
+
+def _state(chances: Column, steps: Column, upper: float, init: Column) -> Column:
+    """(r, prev): the rate after the steps, from (r, prev) before, and the one before; a step is
     r' = clip(y - p . g, 0, upper) at y = r + beta * (r - prev)."""
-    start = min(1.0, fit.upper)
-    init = F.struct(F.lit(start).alias("r"), F.lit(start).alias("prev"))
-    if not fit.steps:
-        return init
 
     def move(acc: Column, step: Column) -> Column:
         y = acc["r"] + F.element_at(step, 1) * (acc["r"] - acc["prev"])
         pulls = F.zip_with(chances, F.slice(step, 2, F.size(step) - 1), lambda p, g: p * g)
         pull = F.aggregate(pulls, F.lit(0.0), lambda a, b: a + b)
-        new = F.least(F.lit(fit.upper), F.greatest(F.lit(0.0), y - pull))
+        new = F.least(F.lit(upper), F.greatest(F.lit(0.0), y - pull))
         return F.struct(new.alias("r"), acc["r"].alias("prev"))
 
-    return F.aggregate(F.lit([list(x) for x in fit.steps]), init, move)
+    return F.aggregate(steps, init, move)
+
+
+def _start(upper: float) -> Column:
+    start = F.lit(float(min(1.0, upper)))
+    return F.struct(start.alias("r"), start.alias("prev"))
 
 
 def rates(probabilities: Column, fit: Fit) -> Column:
     """The rate of a document with these domain probabilities after the fitted steps."""
     # Bound to a variable, so that the posterior is worked out once a row and not once a step.
-    return F.transform(F.array(probabilities), lambda c: _state(c, fit)["r"])[0]
+    steps = _numbers(list(fit.steps))
+    return F.transform(F.array(probabilities), lambda c: _state(c, steps, fit.upper, _start(fit.upper))["r"])[0]
+
+
+def rated(weighted: DataFrame, fit: Fit) -> DataFrame:
+    """``weighted`` with the column ``rate``, worked out once for each distinct ``p``."""
+    known = settle(weighted.select("p").distinct().withColumn("rate", rates(F.col("p"), fit)), "mix-rates")
+    return weighted.join(known, "p").select(*weighted.columns, "rate")
 
 
 def fit_rates(
@@ -237,7 +256,8 @@ def fit_rates(
     is asked for what it holds. Least squares of residuals, each divided by the larger of its
     target and the domain's sum of tau * p^2 (so every term's curvature is at most 1 and no rare
     domain dwarfs the rest), minimised by projected gradient on the box with a step length for
-    each domain's direction and Nesterov momentum, restarted when the objective rises. Each step is one pass over the distinct posteriors.
+    each domain's direction and Nesterov momentum, restarted when the objective rises. Each step
+    is one pass over the distinct posteriors, from the rates last written.
     Ends when every residual is within ``tolerance`` of its target (relative), when the
     objective stops falling, or after ``steps`` steps; the last two are logged as not met.
     """
@@ -245,6 +265,7 @@ def fit_rates(
     # Equal posteriors have equal rates: a step reads a row for each combination of bins seen.
     weighted = settle(weighted.groupBy("p").agg(F.sum("tokens").alias("tokens")), "mix-groups")
     first = weighted.agg(
+        F.count(F.lit(1)).alias("rows"),
         F.sum("tokens").alias("all"),
         *[F.sum(F.col("tokens") * F.col("p")[d]).alias(f"m{d}") for d in domains],
         *[F.sum(F.col("tokens") * F.col("p")[d] * F.col("p")[d]).alias(f"q{d}") for d in domains],
@@ -264,16 +285,23 @@ def fit_rates(
     steps: list[tuple[float, ...]] = []
     best, best_at, k, beta = float("inf"), 0, 0, 0.0
     converged = False
+    tasks = -(-first["rows"] // POSTERIORS)
+    written, saved = weighted.withColumn("s", _start(upper)), 0
+    # Put together once: a pass brings only its numbers, as the columns ``steps`` and ``beta``. In
+    # a lambda, new numbers do not make Spark compile the pass again.
+    moved = [F.col("tokens"), F.col("p"), _state(F.col("p"), F.col("steps"), upper, F.col("s")).alias("s")]
+    ahead = F.transform(
+        F.array("s"), lambda s: F.struct(s["r"].alias("r"), (s["r"] + F.col("beta") * (s["r"] - s["prev"])).alias("y"))
+    )[0].alias("s")
+    pass_sums = [
+        F.sum(F.col("tokens") * F.col(f"s.{v}") * F.col("p")[d]).alias(f"{v}{d}") for v in ("r", "y") for d in domains
+    ]
     while True:
-        fit = Fit(tuple(steps), upper)
-        state = F.transform(F.array("p"), lambda c: _state(c, fit))[0]
-        at = weighted.select("tokens", "p", state.alias("s")).select(
-            "tokens", "p", F.col("s.r").alias("r"), (F.col("s.r") + beta * (F.col("s.r") - F.col("s.prev"))).alias("y")
-        )
-        sums = at.agg(
-            *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[d]).alias(f"r{d}") for d in domains],
-            *[F.sum(F.col("tokens") * F.col("y") * F.col("p")[d]).alias(f"y{d}") for d in domains],
-        ).first()
+        if len(steps) - saved >= FOLD:
+            state = written.coalesce(tasks).withColumn("steps", _numbers(steps[saved:])).select(*moved)
+            written, saved = settle(state, "mix-state", replaces=written if saved else None), len(steps)
+        state = written.coalesce(tasks).withColumn("steps", _numbers(steps[saved:])).select(*moved)
+        sums = state.withColumn("beta", F.lit(beta)).select("tokens", "p", ahead).agg(*pass_sums).first()
         reached = [(sums[f"r{d}"] or 0.0) / total for d in domains]
         at_y = [(sums[f"y{d}"] or 0.0) / total for d in domains]
         value = sum(w * (e - g) ** 2 for w, e, g in zip(weight, reached, goal, strict=True))
@@ -286,8 +314,7 @@ def fit_rates(
         if len(steps) - best_at >= settings.stall or len(steps) >= settings.steps:
             break
         if value > best and beta > 0:
-            k, beta = 0, 0.0  # restart: the momentum overshot
-            continue
+            k, beta, at_y = 0, 0.0, reached  # restart: the momentum overshot
         gradient = [n * 2 * w * (e - g) for n, w, e, g in zip(lengths, weight, at_y, goal, strict=True)]
         steps.append((beta, *gradient))
         k += 1

@@ -80,7 +80,7 @@ def op2_domain_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, measured = mixing.fit_measured(docs, mixing.label_domains(labels))
     weighted = mixing.weigh(docs, model, measured)
     fit = mixing.fit_rates(weighted, [TARGETS.get(d, 0.0) for d in model.domains], 1.0, upper=MIX_UPPER)
-    rated = weighted.withColumn("rate", mixing.rates(F.col("p"), fit))
+    rated = mixing.rated(weighted, fit)
     chances = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return rated.select("doc_id", "tokens", *chances, "rate", mixing.copies(F.col("rate")).alias("copies"))
 

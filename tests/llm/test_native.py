@@ -195,6 +195,25 @@ def test_scarce_domain_keeps_the_rest(spark):
         assert (rate > 0.5).mean() > 0.9, scarce
 
 
+def test_steps_fold_only_those_since_the_rates_were_written(spark, monkeypatch):
+    """Targets out of reach take many steps; each pass reads the written rates, not all steps."""
+    folded, numbers = [], mixing._numbers
+    monkeypatch.setattr(mixing, "_numbers", lambda steps: folded.append(len(steps)) or numbers(steps))
+    chances = [(0.9, 0.06, 0.04), (0.6, 0.4, 0.0), (0.3, 0.6, 0.1), (0.2, 0.1, 0.7), (0.999, 0.0005, 0.0005)]
+    rows = [(t, list(c)) for t, c in zip((60, 15, 10, 5, 10), chances, strict=True)]
+    weighted = spark.createDataFrame(rows, "tokens bigint, p array<double>")
+    fit = mixing.fit_rates(weighted, [0.97, 0.01, 0.02], 1.0, upper=1.0)
+    assert len(fit.steps) > mixing.FOLD and len(folded) >= len(fit.steps) and max(folded) <= mixing.FOLD
+    found = mixing.rated(weighted, fit).collect()
+    own = prev = np.ones(len(found))
+    p = np.array([r.p for r in found])
+    for beta, *g in fit.steps:
+        own, prev = np.clip(own + beta * (own - prev) - p @ np.array(g), 0, 1.0), own
+    np.testing.assert_allclose([r.rate for r in found], own, atol=1e-9)
+    tau = np.array([r.tokens for r in found]) / 100
+    np.testing.assert_allclose((tau * own) @ p, fit.reached, atol=1e-9)
+
+
 def test_infeasible_targets_end(spark, corpus):
     model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
     weighted = mixing.weigh(corpus.where("domain = 'clean'"), model)
