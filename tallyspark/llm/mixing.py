@@ -349,11 +349,15 @@ def mix(
     """The documents, each as often as its rate settles on (at most ``ceil(upper)`` times); no
     shuffle of texts. The fit is kept as ``mixed.fit``. All input columns come back as they were,
     whatever their names: they travel as one struct beside ``doc_id`` and ``text``."""
+    if measured is None:
+        measured = settle(measure(docs, model.words, "doc_id"), "mix-measured")
     weighted = weigh(docs, model, measured)
     fit = fit_rates(weighted, [targets.get(d, 0.0) for d in model.domains], budget, upper, settings)
+    # Equal bins have equal rates; the bins of documents are whole numbers and so safe to join by.
+    known = measured.select("_m_bins").distinct().withColumn("_m_rate", rates(posteriors(model), fit))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_m_row"), docs["doc_id"], docs["text"])
-    seen = measure(row, model.words, "_m_row", "doc_id")
-    rated = seen.withColumn("_m_copies", copies(rates(posteriors(model), fit)))
+    seen = measure(row, model.words, "_m_row", "doc_id").join(settle(known, "mix-rates"), "_m_bins")
+    rated = seen.withColumn("_m_copies", copies(F.col("_m_rate")))
     # Exploded, not filtered: a filter would be pushed below and repeat the work on the text for every bin.
     again = F.explode(F.array_repeat(F.lit(1), F.col("_m_copies").cast("int")))
     mixed = rated.withColumn("_m_copy", again).select("_m_row.*")

@@ -248,6 +248,15 @@ def test_mix_keeps_clean_rows_and_edges(spark, corpus):
     assert mixing.weigh(corpus, blank).count() == 300
 
 
+def test_mix_folds_steps_once_for_equal_bins(spark, corpus):
+    model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
+    mixed = mixing.mix(corpus, model, {"clean": 0.97, "low": 0.01, "toxic": 0.02}, 1.5)
+    assert "lambdafunction" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+    rate = mixing.rates(mixing.posteriors(model), mixed.fit)
+    plain = mixing.measure(corpus, model.words, "doc_id").select("doc_id", mixing.copies(rate).alias("n"))
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in plain.collect() for _ in range(r.n))
+
+
 def test_op1_against_plain(spark):
     from tallyspark.llm.queries import QUERIES
 
