@@ -42,6 +42,8 @@ from tallyspark.sources.workspace import settle
 
 CHUNK = 1 << 20
 BLOCK = 1024
+#: Edges that a task joins to trees at once; only what then still spans tasks takes rounds.
+EDGES = 200_000
 
 
 @dataclass(frozen=True)
@@ -236,12 +238,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of ``EDGES`` at a time as trees of depth one: each node (the least one
+    too) with the least node that these edges connect it with."""
+    parent: dict = {}
+    seen = 0
+
+    def root(node):
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    def told() -> pa.RecordBatch:
+        nodes = list(parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(root, nodes), kind)], names=["a", "b"])
+
+    for batch in batches:
+        kind = batch.column("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+            seen += 1
+            if seen == EDGES:
+                yield told()
+                parent.clear()
+                seen = 0
+    if parent:
+        yield told()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``comp``, the least node it is connected with, for the nodes of the edges.
 
-    Labels travel along edges and then to their label's label, so rounds grow with the
-    logarithm of a chain's length.
+    Each task first joins its edges to trees, ``EDGES`` at a time; more edges than that go on in
+    rounds. There labels travel along edges and then to their label's label, so rounds grow with
+    the logarithm of a chain's length.
     """
+    edges = settle(edges.select("a", "b"), "dedup-edges")
+    count, kind = edges.count(), edges.schema["a"].dataType.simpleString()
+    trees = edges.coalesce(max(1, -(-count // EDGES))).mapInArrow(_trees, f"a {kind}, b {kind}")
+    if count <= EDGES:
+        return settle(trees.toDF("node", "comp"), "dedup-labels")
+    edges = settle(trees, "dedup-trees", replaces=edges)
     both = settle(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "dedup-edges",

@@ -323,6 +323,27 @@ def classes_of(df):
     return sorted(((r.doc_id, r.class_id, r.class_size) for r in probminhash.classes(df).collect()), key=str)
 
 
+def test_components_of_few_edges_take_no_rounds_and_of_many_are_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(300) if i % 50 < 48] + [(400, 400 + i) for i in range(1, 90)]
+    pairs += [(rng.randrange(600, 800), rng.randrange(600, 800)) for _ in range(90)] + [(400, 401), (401, 400), (7, 7)]
+    rng.shuffle(pairs)
+    least = {n: n for p in pairs for n in p}
+    for _ in pairs:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    want = sorted((bytes([n // 256, n % 256]), bytes([c // 256, c % 256])) for n, c in least.items())
+    rows = [tuple(bytes([n // 256, n % 256]) for n in p) for p in pairs]
+    edges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in rows], "a binary, b binary")
+    written, settle = [], probminhash.settle
+    monkeypatch.setattr(probminhash, "settle", lambda df, name, *a, **k: written.append(name) or settle(df, name, *a, **k))
+    assert sorted((bytes(r.node), bytes(r.comp)) for r in probminhash.components(edges).collect()) == want
+    assert len(written) == 2
+    monkeypatch.setattr(probminhash, "EDGES", 40)
+    assert sorted((bytes(r.node), bytes(r.comp)) for r in probminhash.components(edges).collect()) == want
+    assert len(written) > 5
+
+
 def test_duplicate_classes(spark, monkeypatch):
     rows = copies(2, 120) + [(1000 + i, t) for i, t in enumerate(["a b c", "a  b c", "", None, " ", "x", "x", "a b c d e f"])]
     rows += [(None, "q w e r t y u"), (1005, "x"), (1005, "x"), (2000, copies(2, 5)[3][1])]
