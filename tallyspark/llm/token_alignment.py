@@ -6,8 +6,8 @@ are plain text on both sides. A token's bytes: A's vocabulary entry mapped back
 byte-level alphabet; B's piece in UTF-8 with U+2581 as a space and ``<0xHH>`` as byte HH.
 
 Per Arrow batch, tokens of all documents are laid on one axis of byte offsets (each document
-after the last), and ``pandas.merge_asof`` keyed by document finds, for every token start of
-one side, the token of the other side that covers it. Two tokens overlap exactly when one's
+after the last), and a binary search finds, for every token start of one side, the token of the
+other side that covers it; documents begin at equal offsets on both sides. Two tokens overlap exactly when one's
 start lies inside the other, so the union of both directions is every overlapping pair, once.
 Byte offsets where tokens of both sides end cut a document into groups.
 
@@ -25,6 +25,7 @@ than ``doc_id`` and ``text`` are dropped, so no name can clash.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -107,7 +108,7 @@ def _valid(table, ids_list: list[list[int]], expected: list[bytes]) -> np.ndarra
     n_docs = len(expected)
     want = np.fromiter(map(len, expected), dtype=np.int64, count=n_docs)
     counts = np.fromiter(map(len, ids_list), dtype=np.int64, count=n_docs)
-    flat = np.fromiter((i for ids in ids_list for i in ids), dtype=np.int64, count=int(counts.sum()))
+    flat = np.fromiter(chain.from_iterable(ids_list), dtype=np.int64, count=int(counts.sum()))
     doc_of = np.repeat(np.arange(n_docs), counts)
     got = np.bincount(doc_of, weights=table[2][flat], minlength=n_docs).astype(np.int64)
     ok = (got == want) & (counts > 0)
@@ -124,9 +125,7 @@ def _valid(table, ids_list: list[list[int]], expected: list[bytes]) -> np.ndarra
 def _side_frame(table, ids_list, keep: np.ndarray) -> pd.DataFrame:
     """Tokens of the kept documents: document, id, place, start and end on the batch's axis."""
     counts = np.fromiter((len(x) if k else 0 for x, k in zip(ids_list, keep, strict=True)), dtype=np.int64)
-    ids = np.fromiter(
-        (i for x, k in zip(ids_list, keep, strict=True) if k for i in x), dtype=np.int64, count=int(counts.sum())
-    )
+    ids = np.fromiter(chain.from_iterable(compress(ids_list, keep)), dtype=np.int64, count=int(counts.sum()))
     # Kept documents lie one after another, so the running total of bytes is the end offset.
     lengths = table[2][ids]
     ends = np.cumsum(lengths)
@@ -196,17 +195,20 @@ def _align(a_file: str, b_file: str, slice_bytes: int):
             n_b = np.fromiter((len(x) if k else 0 for x, k in zip(b_ids, keep, strict=True)), np.int64, rows)
             a = _side_frame(sides.bytes_a, a_ids, keep)
             b = _side_frame(sides.bytes_b, b_ids, keep)
-            # Each token start finds the other side's token that covers it, within its document.
-            ab = pd.merge_asof(a, b, on="start", by="doc", direction="backward", suffixes=("_a", "_b"))
-            ba = pd.merge_asof(b, a, on="start", by="doc", direction="backward", suffixes=("_b", "_a"))
-            cols = ["doc", "pos_a", "pos_b", "id_a", "id_b"]
-            links = pd.concat([ab[cols], ba[cols]]).drop_duplicates(["pos_a", "pos_b"])
+            # Each token start finds the other side's token that covers it, the last of those that
+            # start there; a token that starts where its cover starts is found from both sides.
+            start_a, start_b = a["start"].to_numpy(), b["start"].to_numpy()
+            of_a = np.searchsorted(start_b, start_a, side="right") - 1
+            of_b = np.searchsorted(start_a, start_b, side="right") - 1
+            new = np.flatnonzero(start_a[of_b] != start_b)
+            id_a, id_b = a["id"].to_numpy(), b["id"].to_numpy()
             # Distinct pairs of a document with their number of occurrences.
-            doc = links["doc"].to_numpy(np.int64)
-            key = (doc << 32) | (links["id_a"].to_numpy(np.int64) << 16) | links["id_b"].to_numpy(np.int64)
-            pair, occ = np.unique(key, return_counts=True)
+            doc = np.concatenate([a["doc"].to_numpy(), b["doc"].to_numpy()[new]])
+            key = (np.concatenate([id_a, id_a[of_b[new]]]) << 16) | np.concatenate([id_b[of_a], id_b[new]])
+            pair, occ = np.unique((doc << 32) | key, return_counts=True)
             split = np.searchsorted(pair >> 32, np.arange(rows + 1))
-            cuts = np.intersect1d(a["end"].to_numpy(), b["end"].to_numpy())
+            ends_a, ends_b = a["end"].to_numpy(), b["end"].to_numpy()
+            cuts = ends_a[np.searchsorted(ends_b, ends_a, side="right") > np.searchsorted(ends_b, ends_a, side="left")]
             sizes = np.fromiter((len(e) if k else 0 for e, k in zip(expected, keep, strict=True)), np.int64, rows)
             n_groups = np.bincount(np.searchsorted(np.cumsum(sizes), cuts, side="left"), minlength=rows)[:rows]
             groups = [""] * rows
@@ -266,7 +268,10 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         F.sum(F.col("n") * F.col("c")).alias("count_sum"),
     )
     zero = F.lit(0).cast("bigint")
-    return toks.join(per_doc, "_row", "left").select(
+    # Hashed before the join, so that its shuffle moves digests and not the group strings.
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    told = toks.select("_row", "doc_id", "n_a", "n_b", "n_groups", digest)
+    return told.join(per_doc, "_row", "left").select(
         "doc_id",
         "n_a",
         "n_b",
@@ -274,5 +279,5 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         F.coalesce("n_links", zero).cast("bigint").alias("n_links"),
         F.coalesce("n_best", zero).cast("bigint").alias("n_best"),
         F.coalesce("count_sum", zero).cast("bigint").alias("count_sum"),
-        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+        "groups_sha256",
     )

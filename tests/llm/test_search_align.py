@@ -92,6 +92,12 @@ def test_alignment_against_brute_force(spark):
     assert all(r.n_a == 0 and r.groups_sha256 == "" for r in none)
 
 
+def test_group_strings_are_hashed_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, "the the"), (2, None)], "doc_id bigint, text string")
+    plan = token_alignment.align(df, A_FILE, B_FILE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") > plan.index("Join LeftOuter")
+
+
 def test_alignment_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_alignment.align(df, A_FILE, B_FILE).count() == 0
