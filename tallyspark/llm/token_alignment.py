@@ -39,7 +39,7 @@ from tallyspark.sources.workspace import settle
 BROADCAST_PAIRS = 4_000_000
 SALTS = 16
 #: Text bytes tokenized and aligned at once in a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 TOKENS = (
     "_row long, doc_id long, n_a long, n_b long, n_groups long, groups string, "
