@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.slices import slices
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -327,7 +329,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, BATCH_CHARS):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 clean = np.ones(len(texts), dtype=bool)
                 for i, *_ in shared.value.search([t or "" for t in texts]):

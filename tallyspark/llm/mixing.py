@@ -23,6 +23,7 @@ gives no rows; other columns pass through ``mix``.
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.sampling import hash_sample
-from tallyspark.sources.workspace import settle
+from tallyspark.sources.workspace import discard, settle
 
 log = logging.getLogger(__name__)
 
@@ -209,9 +210,9 @@ class Fit:
 
 
 def _numbers(steps: list[tuple[float, ...]]) -> Column:
-    """The steps as one literal, read by Spark at once and not number by number."""
-    told = [", ".join(f"double('{float(x)!r}')" for x in step) for step in steps]
-    return F.expr("cast(array(" + ", ".join(f"array({t})" for t in told) + ") AS array<array<double>>)")
+    """The steps as one literal: a text that Spark reads once a plan, not a node of the plan for each
+    number, which every pass would leave behind in the driver's memory."""
+    return F.from_json(F.lit(json.dumps([[float(x) for x in step] for step in steps])), "array<array<double>>")
 
 
 def _state(chances: Column, steps: Column, upper: float, init: Column) -> Column:
@@ -286,7 +287,14 @@ def fit_rates(
     best, best_at, k, beta = float("inf"), 0, 0, 0.0
     converged = False
     tasks = -(-first["rows"] // POSTERIORS)
+
+    def held(table: DataFrame) -> DataFrame:
+        # Kept by the executors (and read again from its files if one is lost): a pass over files
+        # leaves a copy of the file system's settings in the driver, a pass over kept rows nothing.
+        return table.coalesce(tasks).persist()
+
     written, saved = weighted.withColumn("s", _start(upper)), 0
+    kept = held(written)
     # Put together once: a pass brings only its numbers, as the columns ``steps`` and ``beta``. In
     # a lambda, new numbers do not make Spark compile the pass again.
     moved = [F.col("tokens"), F.col("p"), _state(F.col("p"), F.col("steps"), upper, F.col("s")).alias("s")]
@@ -298,10 +306,15 @@ def fit_rates(
     ]
     while True:
         if len(steps) - saved >= FOLD:
-            state = written.coalesce(tasks).withColumn("steps", _numbers(steps[saved:])).select(*moved)
-            written, saved = settle(state, "mix-state", replaces=written if saved else None), len(steps)
-        state = written.coalesce(tasks).withColumn("steps", _numbers(steps[saved:])).select(*moved)
-        sums = state.withColumn("beta", F.lit(beta)).select("tokens", "p", ahead).agg(*pass_sums).first()
+            state = kept.withColumn("steps", _numbers(steps[saved:])).select(*moved)
+            state = settle(state, "mix-state")
+            kept.unpersist()
+            if saved:
+                discard(written)
+            written, saved = state, len(steps)
+            kept = held(written)
+        state = kept.withColumn("steps", _numbers(steps[saved:])).select(*moved)
+        sums = state.withColumn("beta", F.lit(beta)).select("tokens", "p", ahead).agg(*pass_sums).collect()[0]
         reached = [(sums[f"r{d}"] or 0.0) / total for d in domains]
         at_y = [(sums[f"y{d}"] or 0.0) / total for d in domains]
         value = sum(w * (e - g) ** 2 for w, e, g in zip(weight, reached, goal, strict=True))
@@ -319,6 +332,7 @@ def fit_rates(
         steps.append((beta, *gradient))
         k += 1
         beta = (k - 1) / (k + 2)
+    kept.unpersist()
     if not converged:
         log.warning("mixing: targets not met after %d steps; reachable %s, reached %s", len(steps), goal, reached)
     return Fit(tuple(steps), upper, tuple(wanted), tuple(goal), tuple(reached), converged)

@@ -38,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.slices import slices
 from tallyspark.sources.workspace import settle
 
-CHUNK = 1 << 20
+#: Text bytes cut to shingles at once in a Python worker.
+CHUNK = 1 << 18
 BLOCK = 1024
 #: Edges that a task joins to trees at once; only what then still spans tasks takes rounds.
 EDGES = 200_000
@@ -182,7 +184,7 @@ def _keys(docs: DataFrame, settings: Settings) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, CHUNK):
             texts = _raw(batch.column("text").to_pylist())
             out = []
             for a, b in _blocks(texts):
@@ -204,7 +206,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``node`` and its sorted shingle hashes, for the given nodes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, CHUNK):
             texts = _raw(batch.column("text").to_pylist())
             out = []
             for a, b in _blocks(texts):

@@ -214,6 +214,17 @@ def test_steps_fold_only_those_since_the_rates_were_written(spark, monkeypatch):
     np.testing.assert_allclose((tau * own) @ p, fit.reached, atol=1e-9)
 
 
+def test_a_pass_brings_its_steps_as_one_literal(spark):
+    """As text they are one node of the plan, whatever their number, and lose no digit."""
+    steps = [(0.1 * i, 1 / (i + 3), -5e-324, 1.7976931348623157e308) for i in range(mixing.FOLD)]
+    told = mixing._numbers(steps)
+    assert str(told).count("array(") <= 1 and "double(" not in str(told)
+    assert spark.range(1).select(told.alias("s")).first().s == [list(s) for s in steps]
+    weighted = spark.createDataFrame([(60, [0.9, 0.1]), (40, [0.2, 0.8])], "tokens bigint, p array<double>")
+    mixing.fit_rates(weighted, [0.9, 0.1], 1.0)
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
 def test_infeasible_targets_end(spark, corpus):
     model = mixing.fit(corpus, corpus.select("doc_id", "domain"))
     weighted = mixing.weigh(corpus.where("domain = 'clean'"), model)
