@@ -24,15 +24,16 @@ than ``doc_id`` and ``text`` are dropped, so no name can clash.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 from itertools import chain, compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.slices import slices
 from tallyspark.sources.workspace import settle
 
 #: Distinct id pairs up to which counts are broadcast to the links; beyond, a salted join.
@@ -74,6 +75,8 @@ class _Sides:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # A task has one core: threads of the library only add CPU time and memory arenas of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
@@ -122,27 +125,28 @@ def _valid(table, ids_list: list[list[int]], expected: list[bytes]) -> np.ndarra
     return ok
 
 
-def _side_frame(table, ids_list, keep: np.ndarray) -> pd.DataFrame:
-    """Tokens of the kept documents: document, id, place, start and end on the batch's axis."""
+def _side(table, ids_list, keep: np.ndarray) -> dict[str, np.ndarray]:
+    """Tokens of the kept documents: document, id, start and end on the batch's axis."""
     counts = np.fromiter((len(x) if k else 0 for x, k in zip(ids_list, keep, strict=True)), dtype=np.int64)
     ids = np.fromiter(chain.from_iterable(compress(ids_list, keep)), dtype=np.int64, count=int(counts.sum()))
     # Kept documents lie one after another, so the running total of bytes is the end offset.
     lengths = table[2][ids]
     ends = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(ids_list)), counts)
-    return pd.DataFrame({"doc": doc, "id": ids, "pos": np.arange(len(ids)), "start": ends - lengths, "end": ends})
+    return {"doc": doc, "id": ids, "start": ends - lengths, "end": ends}
 
 
-def _groups_text(sides: _Sides, a: pd.DataFrame, b: pd.DataFrame, cuts: np.ndarray) -> tuple[np.ndarray, bytes]:
+def _groups_text(sides: _Sides, a: dict, b: dict, cuts: np.ndarray) -> tuple[np.ndarray, bytes]:
     """``a1,a2|b1;a3|b2,b3`` of all kept documents, concatenated, and each group's end in it."""
-    ga = np.searchsorted(cuts, a["end"].to_numpy(), side="left")
-    gb = np.searchsorted(cuts, b["end"].to_numpy(), side="left")
-    group = np.concatenate([ga, gb])
-    side = np.concatenate([np.zeros(len(ga), np.int64), np.ones(len(gb), np.int64)])
-    pos = np.concatenate([a["pos"].to_numpy(), b["pos"].to_numpy()])
-    ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])
-    order = np.lexsort((pos, side, group))
-    group, side, ids = group[order], side[order], ids[order]
+    ga = np.searchsorted(cuts, a["end"], side="left")
+    gb = np.searchsorted(cuts, b["end"], side="left")
+    # Both sides are in order of their groups, so they are merged, not sorted: a token's place is its
+    # own number and that of the other side's tokens before it (A comes first within a group).
+    at_a = np.arange(len(ga)) + np.searchsorted(gb, ga, side="left")
+    at_b = np.arange(len(gb)) + np.searchsorted(ga, gb, side="right")
+    group, side, ids = (np.empty(len(ga) + len(gb), dtype=np.int64) for _ in range(3))
+    group[at_a], side[at_a], ids[at_a] = ga, 0, a["id"]
+    group[at_b], side[at_b], ids[at_b] = gb, 1, b["id"]
     # Separator after each token: ',' within a side, '|' from A to B, ';' between groups.
     nxt_group = np.append(group[1:], -1)
     nxt_side = np.append(side[1:], -1)
@@ -162,52 +166,35 @@ def _groups_text(sides: _Sides, a: pd.DataFrame, b: pd.DataFrame, cuts: np.ndarr
     return group_end, out.tobytes()
 
 
-def _slices(batches, limit: int):
-    """Arrow batches cut into runs of rows whose texts hold at most ``limit`` bytes (a longer
-    text is a run of its own), so a worker's memory follows ``limit``, not the batch size."""
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        at, total = 0, 0
-        for i, size in enumerate(sizes):
-            if i > at and total + size > limit:
-                yield batch.slice(at, i - at)
-                at, total = i, 0
-            total += int(size)
-        if at < len(sizes):
-            yield batch.slice(at)
-
-
 def _align(a_file: str, b_file: str, slice_bytes: int):
     def run(batches):
         sides = _sides(a_file, b_file)
-        for batch in _slices(batches, slice_bytes):
+        for batch in slices(batches, slice_bytes):
             texts = [t if t is not None else "" for t in batch.column("text").to_pylist()]
             rows = len(texts)
             spaced = [" " + t for t in texts]
             expected = [s.encode("utf-8") for s in spaced]
-            a_ids = [e.ids for e in sides.a.encode_batch(spaced, add_special_tokens=False)]
+            a_ids = [e.ids for e in sides.a.encode_batch_fast(spaced, add_special_tokens=False)]
             b_ids = sides.b.encode(texts, num_threads=1)
             present = np.fromiter((len(t) > 0 for t in texts), dtype=bool, count=rows)
             keep = present & _valid(sides.bytes_a, a_ids, expected) & _valid(sides.bytes_b, b_ids, expected)
             n_a = np.fromiter((len(x) if k else 0 for x, k in zip(a_ids, keep, strict=True)), np.int64, rows)
             n_b = np.fromiter((len(x) if k else 0 for x, k in zip(b_ids, keep, strict=True)), np.int64, rows)
-            a = _side_frame(sides.bytes_a, a_ids, keep)
-            b = _side_frame(sides.bytes_b, b_ids, keep)
+            a = _side(sides.bytes_a, a_ids, keep)
+            b = _side(sides.bytes_b, b_ids, keep)
             # Each token start finds the other side's token that covers it, the last of those that
             # start there; a token that starts where its cover starts is found from both sides.
-            start_a, start_b = a["start"].to_numpy(), b["start"].to_numpy()
+            start_a, start_b = a["start"], b["start"]
             of_a = np.searchsorted(start_b, start_a, side="right") - 1
             of_b = np.searchsorted(start_a, start_b, side="right") - 1
             new = np.flatnonzero(start_a[of_b] != start_b)
-            id_a, id_b = a["id"].to_numpy(), b["id"].to_numpy()
+            id_a, id_b = a["id"], b["id"]
             # Distinct pairs of a document with their number of occurrences.
-            doc = np.concatenate([a["doc"].to_numpy(), b["doc"].to_numpy()[new]])
+            doc = np.concatenate([a["doc"], b["doc"][new]])
             key = (np.concatenate([id_a, id_a[of_b[new]]]) << 16) | np.concatenate([id_b[of_a], id_b[new]])
             pair, occ = np.unique((doc << 32) | key, return_counts=True)
             split = np.searchsorted(pair >> 32, np.arange(rows + 1))
-            ends_a, ends_b = a["end"].to_numpy(), b["end"].to_numpy()
+            ends_a, ends_b = a["end"], b["end"]
             cuts = ends_a[np.searchsorted(ends_b, ends_a, side="right") > np.searchsorted(ends_b, ends_a, side="left")]
             sizes = np.fromiter((len(e) if k else 0 for e, k in zip(expected, keep, strict=True)), np.int64, rows)
             n_groups = np.bincount(np.searchsorted(np.cumsum(sizes), cuts, side="left"), minlength=rows)[:rows]

@@ -1,15 +1,18 @@
 """Cross-tokenizer alignment and exact top-k search against brute-force versions."""
 
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspark.llm import token_alignment, topk_search
+from tallyspark.llm.slices import slices
 
 SF = "/root/testdata/sf0.001"
 A_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,6 +101,19 @@ def test_group_strings_are_hashed_before_the_shuffle(spark):
     assert plan.index("sha2(") > plan.index("Join LeftOuter")
 
 
+def test_alignment_takes_one_thread_and_a_slice_at_a_time(monkeypatch):
+    """Threads of the tokenizer bring memory of their own; results do not depend on the slices."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    token_alignment._sides.cache_clear()
+    texts = ["the the", None, "", "word " * 50, "héllo wörld 日本語", "a\tb\nc  d"]
+    batch = pa.RecordBatch.from_pydict({"_row": list(range(6)), "doc_id": list(range(6)), "text": texts})
+    whole, small = ([r for b in token_alignment._align(A_FILE, B_FILE, n)([batch]) for r in b.to_pylist()] for n in (1 << 20, 20))
+    assert whole == small and [r["doc_id"] for r in whole] == list(range(6))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    sizes = [sum(len((t or "").encode()) for t in b.column("text").to_pylist()) for b in slices([batch], 20)]
+    assert sizes == [7, 250, 23, 8] and sum(b.num_rows for b in slices([batch], 20)) == 6
+
+
 def test_alignment_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_alignment.align(df, A_FILE, B_FILE).count() == 0
