@@ -6,8 +6,8 @@ are plain text on both sides. A token's bytes: A's vocabulary entry mapped back
 byte-level alphabet; B's piece in UTF-8 with U+2581 as a space and ``<0xHH>`` as byte HH.
 
 Per Arrow batch, tokens of all documents are laid on one axis of byte offsets (each document
-after the last), and a binary search finds, for every token start of one side, the token of the
-other side that covers it; documents begin at equal offsets on both sides. Two tokens overlap exactly when one's
+after the last), and running counts of starts on it give, for every token start of one side, the
+token of the other side that covers it; documents begin at equal offsets on both sides. Two tokens overlap exactly when one's
 start lies inside the other, so the union of both directions is every overlapping pair, once.
 Byte offsets where tokens of both sides end cut a document into groups.
 
@@ -136,14 +136,20 @@ def _side(table, ids_list, keep: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": doc, "id": ids, "start": ends - lengths, "end": ends}
 
 
+def _upto(places: np.ndarray, length: int) -> np.ndarray:
+    """For each place of an axis, how many of ``places`` are not beyond it."""
+    return np.cumsum(np.bincount(places, minlength=length))
+
+
 def _groups_text(sides: _Sides, a: dict, b: dict, cuts: np.ndarray) -> tuple[np.ndarray, bytes]:
     """``a1,a2|b1;a3|b2,b3`` of all kept documents, concatenated, and each group's end in it."""
-    ga = np.searchsorted(cuts, a["end"], side="left")
-    gb = np.searchsorted(cuts, b["end"], side="left")
+    before = _upto(cuts, int(cuts[-1]) + 1) - np.bincount(cuts)
+    ga, gb = before[a["end"]], before[b["end"]]
     # Both sides are in order of their groups, so they are merged, not sorted: a token's place is its
     # own number and that of the other side's tokens before it (A comes first within a group).
-    at_a = np.arange(len(ga)) + np.searchsorted(gb, ga, side="left")
-    at_b = np.arange(len(gb)) + np.searchsorted(ga, gb, side="right")
+    groups = int(ga[-1]) + 1
+    at_a = np.arange(len(ga)) + (_upto(gb, groups) - np.bincount(gb, minlength=groups))[ga]
+    at_b = np.arange(len(gb)) + _upto(ga, groups)[gb]
     group, side, ids = (np.empty(len(ga) + len(gb), dtype=np.int64) for _ in range(3))
     group[at_a], side[at_a], ids[at_a] = ga, 0, a["id"]
     group[at_b], side[at_b], ids[at_b] = gb, 1, b["id"]
@@ -185,8 +191,9 @@ def _align(a_file: str, b_file: str, slice_bytes: int):
             # Each token start finds the other side's token that covers it, the last of those that
             # start there; a token that starts where its cover starts is found from both sides.
             start_a, start_b = a["start"], b["start"]
-            of_a = np.searchsorted(start_b, start_a, side="right") - 1
-            of_b = np.searchsorted(start_a, start_b, side="right") - 1
+            axis = int(a["end"][-1]) + 1 if len(start_a) else 1
+            of_a = _upto(start_b, axis)[start_a] - 1
+            of_b = _upto(start_a, axis)[start_b] - 1
             new = np.flatnonzero(start_a[of_b] != start_b)
             id_a, id_b = a["id"], b["id"]
             # Distinct pairs of a document with their number of occurrences.
@@ -195,7 +202,7 @@ def _align(a_file: str, b_file: str, slice_bytes: int):
             pair, occ = np.unique((doc << 32) | key, return_counts=True)
             split = np.searchsorted(pair >> 32, np.arange(rows + 1))
             ends_a, ends_b = a["end"], b["end"]
-            cuts = ends_a[np.searchsorted(ends_b, ends_a, side="right") > np.searchsorted(ends_b, ends_a, side="left")]
+            cuts = ends_a[np.bincount(ends_b, minlength=axis)[ends_a] > 0]
             sizes = np.fromiter((len(e) if k else 0 for e, k in zip(expected, keep, strict=True)), np.int64, rows)
             n_groups = np.bincount(np.searchsorted(np.cumsum(sizes), cuts, side="left"), minlength=rows)[:rows]
             groups = [""] * rows
