@@ -61,3 +61,52 @@ def test_audit_small_arity_walk(spark, monkeypatch):
 def test_audit_empty(spark):
     df = spark.createDataFrame([], "text string, lang string, source string")
     assert divergence.audit(df).count() == 0
+
+
+def test_audit_many_tiles_blocks_and_tables(spark, monkeypatch):
+    for name, value in {"ARITY": 2, "BLOCK_LEVELS": 2, "TILE": 3, "TABLE": 7, "BATCH": 3}.items():
+        monkeypatch.setattr(divergence, name, value)
+    texts = [" ".join(f"w{chr(97 + (i * k) % 26)}" for k in range(i % 7 + 1)) for i in range(150)]
+    rows = [(text, ["en", "é"][i % 3 > 1], f"s{i % 11}") for i, text in enumerate(texts)]
+    rows += [("", "en", "t"), (None, "en", "u"), ("12 ?", "é", "v"), ("alone", "é", "w"), ("a", "xx", "x"), ("a", "xx", "y")]
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert sorted(tuple(r) for r in divergence.audit(df).collect()) == _plain(rows)
+
+
+def test_audit_terms_on_bytes(spark):
+    texts = ["Ünder\u00a0Ärger\x85x", "a\x00B\x7fC\x1cD", "中文 ABC中 Ⅷ\u2028z", "ZÄz zÄZ zäz", "_a-b'c[d]e`f{g}h@i0j"]
+    rows = [(text, "en", f"s{i % 2}") for i in range(3) for text in texts]
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert sorted(tuple(r) for r in divergence.audit(df).collect()) == _plain(rows)
+
+
+def _shuffled(node) -> int:
+    """Rows that the executed plan's exchanges wrote."""
+    name, metrics = node.nodeName(), node.metrics()
+    if name == "AdaptiveSparkPlan":
+        return _shuffled(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return _shuffled(node.plan())
+    own = metrics.apply("shuffleRecordsWritten").value() if metrics.contains("shuffleRecordsWritten") else 0
+    return own + sum(_shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_audit_sends_cells_not_leaves_of_pairs(spark, monkeypatch, tmp_path):
+    """30 sources of 50 terms each: every cell once to count and once to compare, not 29 times."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = [(" ".join(words[(s + i) % 60] for i in range(50)), "en", f"s{s}") for s in range(30)]
+    at = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1).write.parquet(at)
+    sent, scans = [], []
+
+    def collected(df, *_):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<text:"))
+        found = df.collect()
+        sent.append(_shuffled(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(found, df.schema)
+
+    monkeypatch.setattr(divergence, "settle", collected)
+    out = collected(divergence.audit(spark.read.parquet(at)))
+    assert sorted(tuple(r) for r in out.collect()) == _plain(rows)
+    assert sum(scans) == 1
+    assert sum(sent) < 10 * 30 * 50, sent
