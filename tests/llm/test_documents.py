@@ -9,6 +9,7 @@ import string
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
@@ -572,6 +573,59 @@ def test_repeats_against_all_windows(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_repeats_sort_only_strings_that_may_repeat(monkeypatch):
+    """One anchor in different surroundings, as in a short common line, is not worth a suffix sort."""
+    rng, sorted_sizes = np.random.default_rng(9), []
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    monkeypatch.setattr(repeats, "suffix_array", lambda s: sorted_sizes.append(len(s)) or suffixes.suffix_array(s))
+
+    def text(n):
+        return rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+
+    anchor = text(16)
+    segments = [text(60) + anchor + text(60) for _ in range(200)]
+    hashes, order = np.ones(200, dtype=np.uint64), np.arange(200)[::-1] * 1000
+    assert not any(m.any() for m in repeats.mark_shard(segments, hashes, order, 100))
+    assert sorted_sizes == []
+    shared = text(47) + anchor + text(47)
+    for i, (a, b) in {17: (0, 26), 90: (13, 13), 150: (26, 0)}.items():
+        segments[i] = text(a) + shared + text(b)
+    segments[151], segments[18] = segments[150][:120] + text(16), text(16) + segments[17][16:]
+    want = [np.zeros(len(x) - 99, dtype=bool) for x in segments]
+    first = {}
+    for i in np.argsort(order).tolist():
+        for at in range(len(want[i])):
+            want[i][at] = first.setdefault(segments[i][at : at + 100], (i, at)) != (i, at)
+    for every in (False, True):  # a hash shared by unequal strings changes nothing
+        if every:
+            monkeypatch.setattr(repeats, "_twice", lambda hashes: np.ones(len(hashes), dtype=bool))
+        found = repeats.mark_shard(segments, hashes, order, 100)
+        assert [m.tolist() for m in found] == [w.tolist() for w in want]
+        assert sum(m.sum() for m in found) > 20
+    assert sorted_sizes[0] < 800 and sorted_sizes[1] == sum(map(len, segments)) + len(segments)
+
+
+def test_repeats_rows_between_blocks_and_shards(spark):
+    """A block sends a row to each shard: blocks hold several times their least size once there are enough of them."""
+    docs = documents(spark, [(i, f"{i} " * 2000) for i in range(100)])
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    plan = repeats.remove_repeats(docs, repeats.Settings(block_bytes=total // 200))
+    plan = plan._jdf.queryExecution().analyzed().toString()
+    blocks = {int(n) for n in re.findall(r"pmod\(xxhash64\([^)]*\), cast\((\d+) as bigint\)\)", plan)}
+    assert len(blocks) == 1 and 8 <= min(blocks) <= 51
+
+
+def test_repeats_answers():
+    """Each block hears of its own hashes that another block has."""
+    rng = np.random.default_rng(3)
+    sent = {n: np.unique(rng.integers(0, 400, rng.integers(0, 60)).astype(np.uint64)) for n in range(40)}
+    rows = pd.DataFrame([(0, n, v.astype("<u8").tobytes()) for n, v in sent.items()], columns=["shard", "block", "hashes"])
+    found = {r.block: np.frombuffer(r.hashes, "<u8").tolist() for r in repeats._answer(rows).itertuples()}
+    for n, v in sent.items():
+        others = set().union(*(w.tolist() for m, w in sent.items() if m != n))
+        assert found.get(n, []) == [x for x in v.tolist() if x in others]
+
+
 def test_op9_query(spark, given):
     found = [tuple(r) for r in QUERIES["op9_suffix_repeats"](spark, SF).collect()]
     assert sorted(found, key=str) == plain_repeats([(r.doc_id, r.text) for r in given])
